@@ -57,12 +57,14 @@ _CARRY = {
 
 def running(df: DataFrame, keys: Sequence[str], order: str,
             outputs: Mapping[str, tuple[str, str | None]], *, tie_break: Sequence[str] = (),
-            descending: bool = False, peers: bool = False, limit: int = SMALL_GROUP) -> DataFrame:
+            descending: bool = False, peers: bool = False, limit: int = SMALL_GROUP,
+            largest: int | None = None) -> DataFrame:
     """Cumulative columns along ``order`` inside each group.
 
     ``outputs`` maps a new name to ``(fn, column)`` with fn one of sum, count, min, max, last,
     rank, row_number. ``peers`` makes rows of equal order value share the result. ``last`` is
-    the latest non-NULL value. NULL order values are the caller's to remove.
+    the latest non-NULL value. NULL order values are the caller's to remove. ``largest`` is the
+    size of the largest group where the caller has it already.
     """
     def ordering() -> list[Column]:
         first = F.col(order).desc() if descending else F.col(order).asc()
@@ -88,7 +90,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str,
         return source.withColumns(made)
 
     source = df
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         return local(list(keys) or [F.lit(0)])
 
     source = with_bucket(df, keys, order)
