@@ -28,13 +28,10 @@ def _pairs(names: Sequence[str]) -> list[tuple[str, str]]:
 
 def moments(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Count, means and centred cross-products of the named columns per group, complete rows only."""
-    whole = df
-    for v in names:
-        whole = whole.filter(F.col(v).isNotNull())
-    return whole.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(v).alias(f"mean_{v}") for v in names],
-        *[(F.covar_pop(a, b) * F.count(F.lit(1))).alias(f"c_{a}_{b}") for a, b in _pairs(names)])
+    whole = df.filter(" AND ".join(f"`{v}` IS NOT NULL" for v in names))
+    aggs = ["count(1) AS n", *[f"avg(`{v}`) AS `mean_{v}`" for v in names],
+            *[f"covar_pop(`{a}`, `{b}`) * count(1) AS `c_{a}_{b}`" for a, b in _pairs(names)]]
+    return whole.groupBy(*keys).agg(*map(F.expr, aggs))
 
 
 def pool(mom: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -42,14 +39,12 @@ def pool(mom: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame
 
     Adds ``w_*``, the cross-products within the merged groups.
     """
-    n = F.sum("n")
-    mean = {v: F.sum(F.col("n") * F.col(f"mean_{v}")) / n for v in names}
-    out = [n.alias("n"), F.count(F.lit(1)).alias("groups"), *[mean[v].alias(f"mean_{v}") for v in names]]
+    mean = {v: f"sum(n * `mean_{v}`) / sum(n)" for v in names}
+    out = ["sum(n) AS n", "count(1) AS groups", *[f"{mean[v]} AS `mean_{v}`" for v in names]]
     for a, b in _pairs(names):
-        within = F.sum(f"c_{a}_{b}")
-        between = F.sum(F.col("n") * F.col(f"mean_{a}") * F.col(f"mean_{b}")) - n * mean[a] * mean[b]
-        out += [within.alias(f"w_{a}_{b}"), (within + between).alias(f"c_{a}_{b}")]
-    return mom.groupBy(*keys).agg(*out)
+        between = f"sum(n * `mean_{a}` * `mean_{b}`) - sum(n * `mean_{a}`) * sum(n * `mean_{b}`) / sum(n)"
+        out += [f"sum(`c_{a}_{b}`) AS `w_{a}_{b}`", f"sum(`c_{a}_{b}`) + {between} AS `c_{a}_{b}`"]
+    return mom.groupBy(*keys).agg(*map(F.expr, out))
 
 
 def sweep(df: DataFrame, prefix: str, xs: Sequence[str], y: str) -> DataFrame:
@@ -59,40 +54,27 @@ def sweep(df: DataFrame, prefix: str, xs: Sequence[str], y: str) -> DataFrame:
     ``<prefix>_rss`` the residual sum of squares. A covariate without variation of its own is
     left out: its coefficient is NULL and it costs no degree of freedom (``<prefix>_rank``).
     """
-    names = [*xs, y]
+    names, q = [*xs, y], len(xs) + 1
     cell = {}
     for a, b in _pairs(names):
-        cell[a, b] = cell[b, a] = f"{prefix}_{a}_{b}"
-    full = {(a, b): f"__{prefix}0_{a}_{b}" for a in names for b in names}
-    out = df.withColumns({full[a, b]: F.coalesce(F.col(cell[a, b]), F.lit(0.0)) for a in names for b in names})
-    for step, k in enumerate(xs, start=1):
-        nxt = {(a, b): f"__{prefix}{step}_{a}_{b}" for a in names for b in names}
-        old = lambda a, b: F.col(full[a, b])
-        d, live = old(k, k), f"__{prefix}_live_{k}"
-        out = out.withColumn(live, d > TOLERANCE * F.greatest(F.abs(F.coalesce(F.col(cell[k, k]), F.lit(0.0))), F.lit(1e-12)))
-        new = {}
-        for a in names:
-            for b in names:
-                if a == k and b == k:
-                    v = 1 / d
-                elif a == k:
-                    v = old(k, b) / d
-                elif b == k:
-                    v = -old(a, k) / d
-                else:
-                    v = old(a, b) - old(a, k) * old(k, b) / d
-                dropped = F.lit(0.0) if k in (a, b) else old(a, b)
-                new[nxt[a, b]] = F.when(F.col(live), v).otherwise(dropped)
-        out = out.withColumns(new).drop(*full.values())
-        full = nxt
-    made = {f"{prefix}_rss": F.col(full[y, y]), f"{prefix}_rank": sum(
-        (F.col(f"__{prefix}_live_{k}").cast("int") for k in xs), F.lit(0))}
-    for a in xs:
-        made[f"{prefix}_b_{a}"] = F.when(F.col(f"__{prefix}_live_{a}"), F.col(full[a, y]))
-        for b in xs:
-            made[f"{prefix}_v_{a}_{b}"] = F.col(full[a, b])
-    out = out.withColumns(made)
-    return out.drop(*full.values(), *[f"__{prefix}_live_{k}" for k in xs])
+        cell[a, b] = cell[b, a] = f"coalesce(CAST(`{prefix}_{a}_{b}` AS DOUBLE), 0D)"
+    m, live = f"__{prefix}_m", f"__{prefix}_live"
+    start = ", ".join(cell[a, b] for a in names for b in names)
+    out = df.withColumns({m: F.expr(f"array({start})"), live: F.expr("CAST(array() AS ARRAY<BOOLEAN>)")})
+    for k, name in enumerate(xs):
+        d, r, c = f"{m}[{k * q + k}]", f"(i div {q})", f"(i % {q})"
+        swept = (f"CASE WHEN {r} = {k} AND {c} = {k} THEN 1 / {d} WHEN {r} = {k} THEN v / {d} WHEN {c} = {k} THEN -v / {d} "
+                 f"ELSE v - {m}[int({r} * {q} + {k})] * {m}[int({k * q} + {c})] / {d} END")
+        step = f"transform({m}, (v, i) -> CASE WHEN __keep THEN {swept} WHEN {r} = {k} OR {c} = {k} THEN 0D ELSE v END)"
+        keep = f"{d} > {TOLERANCE!r}D * greatest(abs({cell[name, name]}), 1e-12D)"
+        out = (out.withColumn("__keep", F.expr(keep))
+               .withColumns({m: F.expr(step), live: F.expr(f"array_append({live}, __keep)")}))
+    made = {f"{prefix}_rss": f"{m}[{q * q - 1}]", f"{prefix}_rank": f"size(filter({live}, v -> v))"}
+    for i, a in enumerate(xs):
+        made[f"{prefix}_b_{a}"] = f"CASE WHEN {live}[{i}] THEN {m}[{i * q + q - 1}] END"
+        for j, b in enumerate(xs):
+            made[f"{prefix}_v_{a}_{b}"] = f"{m}[{i * q + j}]"
+    return out.withColumns({n: F.expr(e) for n, e in made.items()}).drop(m, live, "__keep")
 
 
 def numeric_sex(sex: Column, reference: str = "F") -> Column:

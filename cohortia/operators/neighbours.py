@@ -32,25 +32,28 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in col])
 
 
-def nearest(points: DataFrame, key: str, vector: str, k: int, block: int = 2048) -> DataFrame:
+def nearest(points: DataFrame, key: str, vector: str, k: int, block: int = 512) -> DataFrame:
     """(key, neighbour, distance, rank) of the k nearest other points by Euclidean distance."""
     n = blocks_for(points.count(), block)
     slim = points.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    left, right = _dealt(slim, "id", "qb", n, "cb", n), _dealt(slim, "id", "cb", n, "qb", n)
+    left = _dealt(slim, "id", "qb", n, "cb", n)
+    right = _dealt(slim.select(F.col("id").alias("oid"), F.col("v").alias("ov")), "oid", "cb", n, "qb", n)
 
     def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        a, b = _matrix(q["v"]), _matrix(c["v"])
-        ids, others = q["id"].to_numpy(), c["id"].to_numpy()
-        out = []
+        a, b = _matrix(q["v"]), _matrix(c["ov"])
+        ids, others = q["id"].to_numpy(), c["oid"].to_numpy()
+        own, near, far = [], [], []
         for i in range(len(a)):
             d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
             d[others == ids[i]] = np.inf
             best = np.lexsort((others, d))[:k]
             best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"id": ids[i], "neighbour": others[best], "distance": d[best]}))
-        return pd.concat(out, ignore_index=True)
+            own.append(np.repeat(ids[i], len(best)))
+            near.append(others[best])
+            far.append(d[best])
+        return pd.DataFrame({"id": np.concatenate(own), "neighbour": np.concatenate(near), "distance": np.concatenate(far)})
 
     kind = slim.schema["id"].dataType.simpleString()
     found = (left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
@@ -86,7 +89,7 @@ def neighbour_graph(edges: DataFrame, key: str, k: int) -> DataFrame:
             .select(key, "z.e.neighbour", "z.e.distance", F.col("z.w").alias("weight")))
 
 
-def nearest_observed(long: DataFrame, k: int, block: int = 2048, cohort: Cohort = DEFAULT) -> DataFrame:
+def nearest_observed(long: DataFrame, k: int, block: int = 512, cohort: Cohort = DEFAULT) -> DataFrame:
     """For every missing (sample, assay), the k nearest samples holding it, with their values."""
     c = cohort
     ranges = long.groupBy(c.assay).agg((F.max(c.value) - F.min(c.value)).alias("__range"))
@@ -100,14 +103,14 @@ def nearest_observed(long: DataFrame, k: int, block: int = 2048, cohort: Cohort
     counted = packed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.exists("x", lambda v: v.isNull())).alias("g")).first()
     nq, nc = blocks_for(counted["g"], block), blocks_for(counted["n"], block)
     left = _dealt(gaps.select("id", "s"), "id", "qb", nq, "cb", nc)
-    right = _dealt(packed, "id", "cb", nc, "qb", nq)
+    right = _dealt(packed.select(F.col("id").alias("oid"), F.col("s").alias("os"), F.col("x").alias("ox")), "oid", "cb", nc, "qb", nq)
 
     def cell(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": [], "pos": [], "neighbour": [], "distance": [], "neighbour_value": []})
         if q.empty or p.empty:
             return empty
-        a, b, x = _matrix(q["s"]), _matrix(p["s"]), _matrix(p["x"])
-        ids, others, held, out = q["id"].to_numpy(), p["id"].to_numpy(), ~np.isnan(x), []
+        a, b, x = _matrix(q["s"]), _matrix(p["os"]), _matrix(p["ox"])
+        ids, others, held, out = q["id"].to_numpy(), p["oid"].to_numpy(), ~np.isnan(x), {n: [] for n in empty}
         for i in range(len(a)):
             diff = np.abs(b - a[i])
             both = ~np.isnan(diff)
@@ -119,9 +122,9 @@ def nearest_observed(long: DataFrame, k: int, block: int = 2048, cohort: Cohort
             order = order[np.isfinite(d[order])]
             for j in np.flatnonzero(np.isnan(a[i])):
                 best = order[held[order, j]][:k]
-                out.append(pd.DataFrame({"id": ids[i], "pos": j, "neighbour": others[best],
-                                         "distance": d[best], "neighbour_value": x[best, j]}))
-        return pd.concat(out, ignore_index=True) if out else empty
+                for name, part in zip(out, (np.repeat(ids[i], len(best)), np.repeat(j, len(best)), others[best], d[best], x[best, j])):
+                    out[name].append(part)
+        return pd.DataFrame({n: np.concatenate(v) for n, v in out.items()}) if out["id"] else empty
 
     kind = packed.schema["id"].dataType.simpleString()
     found = (left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))

@@ -50,7 +50,7 @@ def drop_near_zero_variance(long: DataFrame, cohort: Cohort = DEFAULT) -> DataFr
     return long.join(flat, cohort.assay, "left_anti")
 
 
-def knn_impute(long: DataFrame, k: int = 5, block: int = 2048, cohort: Cohort = DEFAULT) -> DataFrame:
+def knn_impute(long: DataFrame, k: int = 5, block: int = 512, cohort: Cohort = DEFAULT) -> DataFrame:
     """Fill a NULL with the mean of the k nearest samples that hold the assay.
 
     Distance is the mean range-scaled absolute difference over assays both samples hold.

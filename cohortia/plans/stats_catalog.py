@@ -209,7 +209,7 @@ _PRIOR = 4.0
 @query("J14_moderated_given_prior", sql("emb_long", *_PLAN_ALL, _JOINED, *_EFF, body="""SELECT control, contrast, assay,
     round((4 * 0.01 + (n_case + n_control - 4) * s2) / (n_case + n_control), 6) AS s2_post,
     round(log_fc / (sqrt((4 * 0.01 + (n_case + n_control - 4) * s2) / (n_case + n_control)) * stdev_unscaled), 6) AS t_mod,
-    round(least(n_case + n_control, sum(n_case + n_control - 4) OVER (PARTITION BY control, contrast)), 6) AS df_total FROM fit"""))
+    round(CAST(least(n_case + n_control, sum(n_case + n_control - 4) OVER (PARTITION BY control, contrast)) AS DOUBLE), 6) AS df_total FROM fit"""))
 def moderated_given(spark, d):
     fit = adjusted_fit(spark, d)
     prior = fit.select("control", "contrast").distinct().withColumns({"prior_df": F.lit(4.0), "prior_s2": F.lit(0.01)})

@@ -57,10 +57,13 @@ def rows_of(columns, rows):
 
 def compare(spark, con, key, fn, sql, sf_dir):
     """(ok, message) for one query."""
+    t = time.time()
     df = fn(spark, sf_dir)
+    built = time.time() - t
     cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    spent = f"build {built:.1f}s spark {time.time() - t:.1f}s"
     if sql is None:
-        return len(got) > 0, f"rows only: {len(got)}"
+        return len(got) > 0, f"rows only: {len(got)} ({spent})"
     res = con.execute(sql)
     ocols, want = rows_of([c[0] for c in res.description], res.fetchall())
     if cols != ocols:
@@ -70,7 +73,7 @@ def compare(spark, con, key, fn, sql, sf_dir):
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         return False, f"{len(bad)} of {len(got)} rows differ, e.g. spark={bad[0][0]} sql={bad[0][1]}"
-    return True, f"{len(got)} rows"
+    return True, f"{len(got)} rows ({spent})"
 
 
 def main() -> int:
