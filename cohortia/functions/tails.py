@@ -31,7 +31,7 @@ def _ratio(a, b, x, rounds=400):
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = c * d
             h = h * step
-        if np.all(np.abs(step - 1) < 1e-15):
+        if np.all(np.abs(step - 1) < 4e-15):
             break
     return h
 
@@ -107,14 +107,16 @@ def chi2_upper(x, df):
 
 
 def t_quantile(upper, df):
-    """t with the given upper tail, by bisection on a bracket wide enough for df >= 1."""
+    """t with the given upper tail, by bisection over the distinct arguments (df >= 1)."""
     upper, df = np.broadcast_arrays(np.asarray(upper, float), np.asarray(df, float))
-    lo, hi = np.zeros(upper.shape), np.full(upper.shape, 1e6)
-    for _ in range(100):
+    pairs, back = np.unique(np.column_stack([upper.ravel(), df.ravel()]), axis=0, return_inverse=True)
+    lo, hi = np.full(len(pairs), -10.0), np.full(len(pairs), 14.0)
+    for _ in range(60):
         mid = (lo + hi) / 2
-        big = t_two_sided(mid, df) / 2 > upper
+        big = t_two_sided(np.exp(mid), pairs[:, 1]) / 2 > pairs[:, 0]
         lo, hi = np.where(big, mid, lo), np.where(big, hi, mid)
-    return np.where(np.isfinite(df) | np.isinf(df), (lo + hi) / 2, np.nan)
+    found = np.where(np.isnan(pairs).any(axis=1), np.nan, np.exp((lo + hi) / 2))
+    return found[back.ravel()].reshape(df.shape)
 
 
 def digamma(x):

@@ -26,12 +26,18 @@ def _pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations_with_replacement(names, 2))
 
 
+def _clean(expr: str, scale: str, square: bool) -> Column:
+    """A centred sum; a square that is only rounding noise next to its raw sum becomes zero."""
+    return F.expr(f"CASE WHEN {expr} > 1e-12D * {scale} THEN {expr} ELSE 0D END" if square else expr)
+
+
 def moments(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Count, means and centred cross-products of the named columns per group, complete rows only."""
     whole = df.filter(" AND ".join(f"`{v}` IS NOT NULL" for v in names))
-    aggs = ["count(1) AS n", *[f"avg(`{v}`) AS `mean_{v}`" for v in names],
-            *[f"covar_pop(`{a}`, `{b}`) * count(1) AS `c_{a}_{b}`" for a, b in _pairs(names)]]
-    return whole.groupBy(*keys).agg(*map(F.expr, aggs))
+    sums = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s_{v}") for v in names],
+                                    *[F.expr(f"sum(`{a}` * `{b}`)").alias(f"q_{a}_{b}") for a, b in _pairs(names)])
+    return sums.select(*keys, "n", *[F.expr(f"`s_{v}` / n").alias(f"mean_{v}") for v in names], *[
+        _clean(f"`q_{a}_{b}` - `s_{a}` * `s_{b}` / n", f"`q_{a}_{b}`", a == b).alias(f"c_{a}_{b}") for a, b in _pairs(names)])
 
 
 def pool(mom: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -40,11 +46,13 @@ def pool(mom: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame
     Adds ``w_*``, the cross-products within the merged groups.
     """
     mean = {v: f"sum(n * `mean_{v}`) / sum(n)" for v in names}
-    out = ["sum(n) AS n", "count(1) AS groups", *[f"{mean[v]} AS `mean_{v}`" for v in names]]
+    out = [F.expr("sum(n) AS n"), F.expr("count(1) AS groups"), *[F.expr(mean[v]).alias(f"mean_{v}") for v in names]]
     for a, b in _pairs(names):
+        noise = f"sum(n * `mean_{a}` * `mean_{b}`)"
         between = f"sum(n * `mean_{a}` * `mean_{b}`) - sum(n * `mean_{a}`) * sum(n * `mean_{b}`) / sum(n)"
-        out += [f"sum(`c_{a}_{b}`) AS `w_{a}_{b}`", f"sum(`c_{a}_{b}`) + {between} AS `c_{a}_{b}`"]
-    return mom.groupBy(*keys).agg(*map(F.expr, out))
+        out += [F.expr(f"sum(`c_{a}_{b}`)").alias(f"w_{a}_{b}"),
+                (F.expr(f"sum(`c_{a}_{b}`)") + _clean(between, noise, a == b)).alias(f"c_{a}_{b}")]
+    return mom.groupBy(*keys).agg(*out)
 
 
 def sweep(df: DataFrame, prefix: str, xs: Sequence[str], y: str) -> DataFrame:
