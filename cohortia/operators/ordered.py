@@ -40,7 +40,7 @@ def with_bucket(df: DataFrame, keys: Sequence[str], value: str, out: str = "__bu
                 buckets: int = BUCKETS) -> DataFrame:
     """Tag rows with a bucket that is monotone in ``value`` inside each group."""
     probs = [i / buckets for i in range(1, buckets)]
-    one = "__one"
+    one = "__all"
     base = df.withColumn(one, F.lit(1)) if not keys else df
     on = list(keys) or [one]
     cuts = base.groupBy(*on).agg(F.percentile_approx(value, probs, 2000).alias("__cuts"))
