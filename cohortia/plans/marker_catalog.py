@@ -8,6 +8,7 @@ from cohortia.operators import enrich as E
 from cohortia.operators import linear as LM
 from cohortia.operators import mixed as MX
 from cohortia.operators import profiles as PR
+from cohortia.operators import slopes as SL
 from cohortia.operators import summaries as D
 from cohortia.operators import windows as W
 from cohortia.plans.bindings import emb_long, emb_values, evt_long, line_long, line_meta, sql, table
@@ -60,6 +61,11 @@ def mixed_interaction(spark, d):
     return MX.compare_interaction(visits(spark, d))
 
 
+@query("J11_slope_comparison")
+def mixed_slopes(spark, d):
+    return SL.compare_slopes(visits(spark, d))
+
+
 _GENES = """sc AS (SELECT class, gene, round(avg(value), 6) - 10 AS score FROM line_long JOIN line_meta USING (sample_id) GROUP BY 1, 2),
     st AS (SELECT 'brand ' || p_brand AS term, p_partkey AS gene FROM part UNION ALL SELECT 'type ' || p_type, p_partkey FROM part
     UNION ALL SELECT 'name ' || p_name, p_partkey FROM part)"""

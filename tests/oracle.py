@@ -79,6 +79,7 @@ def compare(spark, con, key, fn, sql, sf_dir):
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--sql-only", action="store_true", help="leave out queries without SQL")
     ap.add_argument("keys", nargs="*")
     args = ap.parse_args()
     import __spark_entry__ as e
@@ -88,6 +89,8 @@ def main() -> int:
     for key, fn in e.queries().items():
         if args.keys and not any(key.startswith(k) for k in args.keys):
             continue
+        if args.sql_only and key not in oracles:
+            continue
         t = time.time()
         try:
             ok, msg = compare(spark, con, key, fn, oracles.get(key), sf_dir)

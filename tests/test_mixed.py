@@ -61,3 +61,49 @@ def test_interaction_test_is_a_difference_of_criteria(spark):
     gap = max(out.loc["main", "criterion"] - out.loc["interaction", "criterion"], 0)
     assert abs(out.loc["interaction", "statistic"] - gap) < 1e-9
     assert 0 <= out.loc["interaction", "p_value"] <= 1
+
+
+def test_slopes_reach_the_dense_optimum(spark):
+    from cohortia.operators import slopes
+
+    rng = np.random.default_rng(8)
+    subject = np.repeat(np.arange(40), 6)
+    n = len(subject)
+    age = rng.uniform(20, 60, n)
+    sex = (subject % 2).astype(float)
+    slope = rng.normal(size=40) * 0.04
+    y = 1 + 0.02 * age + 0.3 * sex + rng.normal(size=40)[subject] + slope[subject] * (age - 40) + 0.7 * rng.normal(size=n)
+    rows = [("A", int(s), float(a), "M" if g else "F", float(v)) for s, a, g, v in zip(subject, age, sex, y)]
+    df = spark.createDataFrame(rows, "assay string, subject long, age double, sex string, value double")
+    out = slopes.compare_slopes(df, chunk=7).toPandas().set_index("term")
+    x = np.column_stack([np.ones(n), age, sex, age * sex])
+    z = (age - age.mean()) / age.std(ddof=1)
+
+    def crit(theta):
+        low = np.zeros((2, 2))
+        low[np.tril_indices(2)] = theta
+        v = np.eye(n)
+        for s in range(40):
+            at = np.flatnonzero(subject == s)
+            zi = np.column_stack([np.ones(len(at)), z[at]]) @ low
+            v[np.ix_(at, at)] += zi @ zi.T
+        vi = np.linalg.inv(v)
+        a = x.T @ vi @ x
+        r = y - x @ np.linalg.solve(a, x.T @ vi @ y)
+        d = n - 4
+        return np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1] + d * (1 + np.log(2 * np.pi * (r @ vi @ r) / d))
+
+    best = out.loc["age slope", "criterion"]
+    found, width = np.array([1.2, 0.2, 0.6]), 0.5
+    value = crit(found)
+    while width > 1e-4:
+        tries = [found + width * s * e for e in np.eye(3) for s in (1, -1)]
+        vals = [crit(t) for t in tries]
+        if min(vals) < value:
+            found, value = tries[int(np.argmin(vals))], min(vals)
+        else:
+            width /= 2
+    assert abs(best - value) < 1e-4
+    assert out.loc["age slope", "df"] == 2 and out.loc["age slope", "p_value"] < 1e-4
+    assert out.loc["age and sex slopes", "df"] == 3
+    assert out.loc["age and sex slopes", "criterion"] <= best + 1e-4
