@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.functions.tails import digamma, f_upper, trigamma, trigamma_inverse
+from cohortia.functions.tails import digamma, f_upper, trigamma_inverse
 
 
 def _plain(z_mean: np.ndarray, z_var: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,5 +60,3 @@ def robust_prior(rows: DataFrame, tail: tuple[float, float]) -> DataFrame:
         return pd.DataFrame([_robust(a, b, c, tail) for a, b, c in zip(m, v, df)], columns=["prior_df", "prior_s2"])
     return rows.withColumn("__p", solve("w_mean", "w_var", "df_mean")).select("*", "__p.*").drop("__p")
 
-
-__all__ = ["plain_prior", "robust_prior", "trigamma"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortia.operators import enrich as E
-from cohortia.operators import linear as LM
 from cohortia.operators import mixed as MX
 from cohortia.operators import profiles as PR
 from cohortia.operators import slopes as SL

@@ -9,10 +9,9 @@ from cohortia.operators import linear as LM
 from cohortia.operators import matching as M
 from cohortia.operators import neighbours as N
 from cohortia.operators import prepare as P
-from cohortia.operators import verbs as V
 from cohortia.operators import windows as W
 from cohortia.operators.reshape import vectors
-from cohortia.plans.bindings import emb_long, emb_meta, emb_values, line_long, line_meta, scored, sql, table
+from cohortia.plans.bindings import emb_long, emb_meta, emb_values, line_long, line_meta, sql, table
 from cohortia.plans.fwl import centred, residual_steps
 from cohortia.plans.registry import query
 from cohortia.plans.summaries_catalog import rounded

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
-from cohortia.functions import scalar as S
 from cohortia.operators import layers as L
 from cohortia.operators import summaries as D
 from cohortia.operators import windows as W

@@ -34,7 +34,8 @@ class _Named:
 
 def test_scratch_follows_the_session_setting(spark):
     assert scratch_path(_Named, "x").startswith("hdfs://shared/checkpoints/cohortia/x-")
-    assert scratch_path(spark, "x").startswith(spark.sparkContext.getCheckpointDir())
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert scratch_path(spark, "x").startswith(named.rstrip("/") + "/cohortia/x-")
 
 
 def test_level_guard(spark):
