@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session's ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (a local test session) is a temporary folder made.
+    A session that runs in this process alone (``local``, as in tests) gets a temporary folder where
+    the setting is absent; on a cluster its absence is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    local = tempfile.mkdtemp(prefix="cohortia-")
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortia-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for one table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/cohortia/{name}-{uuid.uuid4().hex}"
+    """A new path for one table below the shared folder, deleted when this process ends or by `release`."""
+    path = f"{shared_dir(spark).rstrip('/')}/cohortia/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(release)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def release(since: int = 0) -> None:
+    """Delete the scratch tables made after the first ``since`` ones; frames that read them are then of no use."""
+    for spark, path in _SCRATCH[since:]:
+        if spark.sparkContext._jsc is None:
+            continue
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _SCRATCH[since:]
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the scratch tables made inside; run the actions inside as well."""
+    since = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        release(since)
 
 
 def cut(df: DataFrame) -> DataFrame:
