@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import mixing, neardup, packing, quality, secrets, tokens
+from cohortia.llm import html, mixing, neardup, packing, quality, search, secrets, tokenfiles, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,12 +77,35 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_html_tree_scoring")
+def html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 @query("op6_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_up = packing.pieces(table(spark, sf_dir, "documents"), tokens.vocabulary())
     return packing.pack(cut_up.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+@query("op7_arrow_token_files")
+def arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), tokens.vocabulary()))
+
+
+@query("op9_exact_top_k", """
+    WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 @query("op10_structural_secrets")
 def structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
