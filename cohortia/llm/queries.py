@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import html, mixing, neardup, packing, quality, search, secrets, tokenfiles, tokens
+from cohortia.llm import html, mixing, mixlm, neardup, packing, quality, search, secrets, tokenfiles, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +77,11 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_context_mixing")
+def context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.score(table(spark, sf_dir, "documents"))
+
+
 @query("op5_html_tree_scoring")
 def html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
@@ -93,6 +98,11 @@ def arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(tokenfiles.write(table(spark, sf_dir, "documents"), tokens.vocabulary()))
 
 
+@query("op8_noisy_channel_toxicity")
+def noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_exact_top_k", """
     WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
