@@ -7,9 +7,11 @@ collections agree. With 10 collections of 2, a pair of similarity 0.85 is missed
 
 Texts of equal sets are one class first. In every table key with several classes all meet the
 smallest one (a star); links are confirmed on full sets. Classes that are then still outside the
-star's component meet every class of other components of that key, in blocks, with a bound on set sizes,
-so that a group of many near copies costs about its size and no link between different sets that
-met in a table is left out.
+star's component meet the classes of other components of that key, in blocks. Before that, shingles that
+only one of the classes left has are counted: a class is as similar to any other as the rest of its
+set allows at most, so most edited copies that are linked with nothing are known to be so without being
+compared, and a group of many near copies costs about its size. No link between different sets that met in
+a table is left out.
 
 Defined results: letters A-Z are lower-cased; under ``k`` words the whole sequence is the only
 shingle; NULL texts and texts without words have an empty set and are linked with nothing; each row is
@@ -137,16 +139,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, b: Banding) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _cores(sets: DataFrame) -> DataFrame:
+    """(rep, core): how many shingles of each class some other class among ``sets`` has too."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = batch.column(0).to_numpy()
+            for i in range(batch.num_rows):
+                items = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(np.full(len(items), reps[i]))], ["item", "rep"])
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    shared = sets.mapInArrow(spread, f"item long, rep {kind}").groupBy("item").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    alone = shared.filter("rep = other").groupBy("rep").agg(F.count("*").alias("own"))
+    size = sets.select("rep", (F.length("items") / 8).cast("long").alias("items"))
+    return size.join(alone, "rep", "left").select("rep", (F.col("items") - F.coalesce("own", F.lit(0))).alias("core"))
+
+
 def _outside(members: DataFrame, b: Banding) -> DataFrame:
     """Pairs of one key whose components differ and that may reach the similarity, in blocks.
 
-    ``members``: key, rep, n, sig, comp and main (the component of the key's star). Only pairs with an
-    end outside ``main`` are left to compare. A pair goes on if its set sizes allow the similarity and
-    half of the minhashes agree (at similarity 0.85 fewer do with probability 1e-5).
+    ``members``: key, rep, n, core, sig, comp and main (the component of the key's star). Only pairs with
+    an end outside ``main`` are left to compare. A pair goes on if its set sizes and cores allow the
+    similarity and half of the minhashes agree (at similarity 0.85 fewer do with probability 1e-5).
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"),
                                        F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK).cast("int").alias("lefts"))
-    seated = members.join(sizes, "key")
+    seated = members.join(sizes.filter("lefts > 0"), "key")
     seat = F.xxhash64("rep", "key")
     left = (seated.filter("comp != main").withColumn("i", F.pmod(seat, "lefts").cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))))
@@ -157,14 +175,15 @@ def _outside(members: DataFrame, b: Banding) -> DataFrame:
     lim, least = b.percent, b.collections * b.rows // 2
 
     def pairs(key, lefts: pa.Table, rights: pa.Table) -> pa.Table:
-        a, an, ac = (lefts.column(c).to_numpy() for c in ("rep", "n", "comp"))
-        r, rn, rc, rm = (rights.column(f"r_{c}").to_numpy() for c in ("rep", "n", "comp", "main"))
+        a, an, ac, ao = (lefts.column(c).to_numpy() for c in ("rep", "n", "comp", "core"))
+        r, rn, rc, rm, ro = (rights.column(f"r_{c}").to_numpy() for c in ("rep", "n", "comp", "main", "core"))
         asig, rsig = (c.combine_chunks().flatten().to_numpy().reshape(len(c), -1)
                       for c in (lefts.column("sig"), rights.column("r_sig")))
         out = [np.zeros(0, a.dtype)], [np.zeros(0, a.dtype)]
         for i in range(len(a) if len(r) else 0):
             # two classes outside the star come up from both sides; one is enough
-            ok = (rc != ac[i]) & ((rc == rm) | (r > a[i])) & (100 * np.minimum(rn, an[i]) >= lim * np.maximum(rn, an[i]))
+            most = np.minimum(ro, ao[i])
+            ok = (rc != ac[i]) & ((rc == rm) | (r > a[i])) & (100 * most >= lim * (rn + an[i] - most))
             hit = np.flatnonzero(ok)
             hit = r[hit[(rsig[hit] == asig[i]).sum(axis=1) >= least]]
             out[0].append(np.minimum(hit, a[i]))
@@ -204,7 +223,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
     home = placed.filter("rep = star").select("key", F.col("comp").alias("main"))
     open_keys = placed.join(home, "key").select("key", "rep", "n", "comp", "main")
     split = open_keys.filter("comp != main").select("key").distinct()
-    members = cut(open_keys.join(split, "key", "left_semi").join(classes.select("rep", "n", "sig"), ["rep", "n"]))
+    open_keys = cut(open_keys.join(split, "key", "left_semi"))
+    cores = cut(_cores(sets.join(open_keys.select("rep").distinct(), "rep", "left_semi")).filter(F.col("core") > 0))
+    members = cut(open_keys.join(cores, "rep").filter(100 * F.col("core") >= b.percent * F.col("n"))
+                  .join(classes.select("rep", "n", "sig"), ["rep", "n"]))
     more = cut(_confirmed(_outside(members, b).join(first, ["a", "b"], "left_anti"), sets, b))
     final = components(links.unionByName(more))
     placed = (classes.join(final.withColumnRenamed("node", "rep"), "rep", "left")
@@ -212,7 +234,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
     out = docs.join(placed, ["n", "fp1", "fp2"], "left")
     mine = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"),
-                      F.coalesce(mine == F.col("doc_id"), F.lit(True)).alias("kept"))
+                      F.coalesce(mine == F.col("doc_id"), mine.isNull()).alias("kept"))
 
 
 def _repeated(docs: DataFrame) -> bool:
