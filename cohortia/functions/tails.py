@@ -12,7 +12,20 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(x):
+    """Log of the gamma function of positive numbers: shifted up, then Stirling's series."""
+    x = np.asarray(x, float)
+    low, shift = x < 16, np.zeros_like(x)
+    if low.any():
+        for i in range(16):
+            shift = shift + np.where(low, np.log(np.where(low, x + i, 1.0)), 0.0)
+        x = np.where(low, x + 16, x)
+    i = 1 / (x * x)
+    series = (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i * (1 / 1680 - i / 1188)))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - shift
+
 
 
 def _ratio(a, b, x, rounds=400):

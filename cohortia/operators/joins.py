@@ -9,7 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortia.operators.verbs import levels_array
 
 
 def with_metadata(long: DataFrame, meta: DataFrame, key: str, columns: Sequence[str],
@@ -38,10 +37,10 @@ def natural(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
 
 
 def level_pairs(df: DataFrame, column: str, names: tuple[str, str]) -> DataFrame:
-    """All ordered pairs of different levels of a small dimension (size-checked)."""
+    """All ordered pairs of different levels of a dimension; the result is of that size."""
     one = df.select(F.col(column).alias(names[0])).distinct().filter(F.col(names[0]).isNotNull())
-    return (one.withColumn(names[1], F.explode(levels_array(df, column).scalar()))
-            .filter(F.col(names[0]) != F.col(names[1])))
+    two = one.withColumnRenamed(names[0], names[1])
+    return one.join(two, F.col(names[0]) != F.col(names[1]))
 
 
 def complete(counts: DataFrame, key: str, column: str, values: Sequence[str], fill: str) -> DataFrame:

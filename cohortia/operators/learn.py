@@ -49,22 +49,19 @@ def feature_vectors(long: DataFrame, features: DataFrame, cohort: Cohort = DEFAU
     """Scaled feature vector of every sample in the model's feature order.
 
     Values are scaled by the training statistics; an assay the sample or its whole cohort
-    lacks enters at the training mean.
+    lacks enters at the training mean. Every sample of ``long`` has a row, even without any value.
     """
     c = cohort
     width = features.agg((F.max("row") + 1).alias("w")).first()["w"] or 0
 
-    @F.pandas_udf("array<double>")
-    def dense(rows: pd.Series, values: pd.Series) -> pd.Series:
-        out = np.zeros((len(rows), width))
-        for i, (r, v) in enumerate(zip(rows, values)):
-            out[i, np.asarray(r, dtype=int)] = v
-        return pd.Series(list(out))
-
     scaled = (long.filter(F.col(c.value).isNotNull()).join(features, c.assay)
-              .select(c.sample, "row", ((F.col(c.value) - F.col("mean")) / F.col("sd")).alias("z")))
-    packed = scaled.groupBy(c.sample).agg(F.collect_list(F.struct("row", "z")).alias("p"))
-    return packed.select(c.sample, array_to_vector(dense(F.col("p.row"), F.col("p.z"))).alias("features"))
+              .select(c.sample, F.struct("row", ((F.col(c.value) - F.col("mean")) / F.col("sd")).alias("z")).alias("s")))
+    packed = (long.select(c.sample).distinct().join(scaled.groupBy(c.sample).agg(F.collect_list("s").alias("p")), c.sample, "left")
+              .withColumn("p", F.coalesce("p", F.array().cast("array<struct<row:int,z:double>>"))))
+    every = F.array(*[F.lit(i) for i in range(0)]).cast("array<int>") if not width else F.sequence(F.lit(0), F.lit(width - 1))
+    absent = F.transform(F.array_except(every, F.col("p")["row"]), lambda i: F.struct(i.alias("row"), F.lit(0.0).alias("z")))
+    whole = F.transform(F.array_sort(F.concat("p", absent)), lambda s: s["z"])
+    return packed.select(c.sample, array_to_vector(whole).alias("features"))
 
 
 class HandTillEvaluator(Evaluator):
@@ -167,7 +164,8 @@ def feature_sweep(train: DataFrame, test: DataFrame, ranked: DataFrame, kind: st
                   penalty: float = 0.01, workers: int = 4, max_iter: int = 100) -> DataFrame:
     """Held-out metric of models refitted on the n best features, for every n.
 
-    ``ranked`` (row, place) orders the feature positions, best first.
+    ``ranked`` (row, place) orders the feature positions, best first. A size above the number of
+    features uses all of them (``n_used``).
     """
     order = [r["row"] for r in ranked.orderBy("place").select("row").collect()]
     evaluator = _evaluator(kind, 2)
@@ -181,7 +179,8 @@ def feature_sweep(train: DataFrame, test: DataFrame, ranked: DataFrame, kind: st
 
     try:
         with ThreadPoolExecutor(workers) as pool:
-            out = list(pool.map(one, [n for n in sizes if n <= len(order)]))
+            made = {u: m for _, u, m in pool.map(one, sorted({min(n, len(order)) for n in sizes}))}
+            out = [(n, min(n, len(order)), made[min(n, len(order))]) for n in sizes]
     finally:
         train.unpersist()
         test.unpersist()

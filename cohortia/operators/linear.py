@@ -27,32 +27,37 @@ def _pairs(names: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def _clean(expr: str, scale: str, square: bool) -> Column:
-    """A centred sum; a square that is only rounding noise next to its raw sum becomes zero."""
-    return F.expr(f"CASE WHEN {expr} > 1e-12D * {scale} THEN {expr} ELSE 0D END" if square else expr)
+    """A centred sum; a square that is only rounding noise next to its squared mean becomes zero."""
+    return F.expr(f"CASE WHEN {expr} > 1e-26D * {scale} THEN {expr} ELSE 0D END" if square else expr)
 
 
 def moments(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Count, means and centred cross-products of the named columns per group, complete rows only."""
+    """Count, means and centred cross-products of the named columns per group, complete rows only.
+
+    Spark merges centred moments of partial aggregates, so large means cancel nothing.
+    """
     whole = df.filter(" AND ".join(f"`{v}` IS NOT NULL" for v in names))
-    sums = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"s_{v}") for v in names],
-                                    *[F.expr(f"sum(`{a}` * `{b}`)").alias(f"q_{a}_{b}") for a, b in _pairs(names)])
-    return sums.select(*keys, "n", *[F.expr(f"`s_{v}` / n").alias(f"mean_{v}") for v in names], *[
-        _clean(f"`q_{a}_{b}` - `s_{a}` * `s_{b}` / n", f"`q_{a}_{b}`", a == b).alias(f"c_{a}_{b}") for a, b in _pairs(names)])
+    sums = whole.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"mean_{v}") for v in names],
+        *[F.expr(f"var_pop(`{a}`)" if a == b else f"covar_pop(`{a}`, `{b}`)").alias(f"q_{a}_{b}") for a, b in _pairs(names)])
+    return sums.select(*keys, "n", *[f"mean_{v}" for v in names], *[
+        _clean(f"n * `q_{a}_{b}`", f"n * `mean_{a}` * `mean_{a}`", a == b).alias(f"c_{a}_{b}") for a, b in _pairs(names)])
 
 
 def pool(mom: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Merge the moments of several groups into those of their union.
 
-    Adds ``w_*``, the cross-products within the merged groups.
+    Adds ``w_*``, the cross-products within the merged groups. Group means are taken from the mean of
+    the union before they are multiplied.
     """
-    mean = {v: f"sum(n * `mean_{v}`) / sum(n)" for v in names}
-    out = [F.expr("sum(n) AS n"), F.expr("count(1) AS groups"), *[F.expr(mean[v]).alias(f"mean_{v}") for v in names]]
+    centred = attach_totals(mom, keys, **{f"__m_{v}": F.expr(f"sum(n * `mean_{v}`) / sum(n)") for v in names})
+    out = [F.expr("sum(n) AS n"), F.expr("count(1) AS groups"), *[F.max(f"__m_{v}").alias(f"mean_{v}") for v in names]]
     for a, b in _pairs(names):
-        noise = f"sum(n * `mean_{a}` * `mean_{b}`)"
-        between = f"sum(n * `mean_{a}` * `mean_{b}`) - sum(n * `mean_{a}`) * sum(n * `mean_{b}`) / sum(n)"
+        between = f"sum(n * (`mean_{a}` - `__m_{a}`) * (`mean_{b}` - `__m_{b}`))"
+        scale = f"sum(n * `mean_{a}` * `mean_{a}`)"
         out += [F.expr(f"sum(`c_{a}_{b}`)").alias(f"w_{a}_{b}"),
-                (F.expr(f"sum(`c_{a}_{b}`)") + _clean(between, noise, a == b)).alias(f"c_{a}_{b}")]
-    return mom.groupBy(*keys).agg(*out)
+                (F.expr(f"sum(`c_{a}_{b}`)") + _clean(between, scale, a == b)).alias(f"c_{a}_{b}")]
+    return centred.groupBy(*keys).agg(*out)
 
 
 def sweep(df: DataFrame, prefix: str, xs: Sequence[str], y: str) -> DataFrame:
@@ -163,15 +168,21 @@ def contrast_plan(meta: DataFrame, control: str, healthy: str = "Healthy",
 
 
 def contrast_members(plan: DataFrame, meta: DataFrame, matched: DataFrame | None = None,
-                     cohort: Cohort = DEFAULT) -> DataFrame:
+                     matched_cases: DataFrame | None = None, cohort: Cohort = DEFAULT) -> DataFrame:
     """(control, contrast, sample, role) of planned contrasts.
 
-    ``matched`` (case_disease, control_disease, sample) keeps only matched control samples.
+    ``matched`` (case_disease, control_disease, sample) keeps only matched control samples;
+    ``matched_cases`` (control, case_disease, sample) lists the cases of the controls it names, whose
+    contrasts leave unmatched cases out (as against healthy samples); other contrasts keep all cases.
     """
     c = cohort
     sick = meta.select(c.sample, F.col(c.disease).alias("case_disease"))
     cases = (plan.select("control", "case_disease").distinct().join(sick, "case_disease")
              .select("control", F.col("case_disease").alias("contrast"), c.sample, F.lit("case").alias("role")))
+    if matched_cases is not None:
+        strict = matched_cases.select("control").distinct()
+        some = matched_cases.select("control", F.col("case_disease").alias("contrast"), c.sample, F.lit("case").alias("role"))
+        cases = cases.join(strict, "control", "left_anti").unionByName(some)
     if matched is None:
         well = meta.select(c.sample, F.col(c.disease).alias("control_disease"))
         controls = plan.join(well, "control_disease")

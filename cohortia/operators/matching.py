@@ -7,12 +7,12 @@ opposite of a cell is the one before or after it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.cohort import DEFAULT, Cohort
 from cohortia.operators.linear import numeric_sex, sweep
-from cohortia.operators.ordered import largest_group, running
+from cohortia.operators.ordered import running
 from cohortia.session import cut, join_on
 
 PAIR = ["case_disease", "control_disease"]
@@ -48,9 +48,11 @@ def propensity(levels: DataFrame, steps: int = 25, tolerance: float = 1e-10) ->
     """
     w = F.col("cases") + F.col("controls")
     shape = (levels.groupBy(*PAIR).agg(
-        (F.sum(w * F.col("age")) / F.sum(w)).alias("m"), F.sum(w * F.col("age") * F.col("age")).alias("ss"),
-        F.sum(w).alias("n"), (F.sum("cases") / F.sum(w)).alias("rate"))
-        .withColumn("s", F.sqrt(F.greatest(F.col("ss") / F.col("n") - F.col("m") * F.col("m"), F.lit(0.0))))
+        (F.sum(w * F.col("age")) / F.sum(w)).alias("m"), (F.sum("cases") / F.sum(w)).alias("rate"),
+        F.sum(w).alias("n")))
+    spread = (join_on(levels, shape.select(*PAIR, "m"), PAIR, "inner").groupBy(*PAIR)
+              .agg(F.sum(w * F.pow(F.col("age") - F.col("m"), 2)).alias("ss")))
+    shape = (join_on(shape, spread, PAIR, "inner").withColumn("s", F.sqrt(F.col("ss") / F.col("n")))
         .withColumn("s", F.when(F.col("s") > 1e-9, F.col("s")).otherwise(1.0))
         .filter("rate > 0 AND rate < 1"))
     data = cut(join_on(levels, shape.select(*PAIR, "m", "s"), PAIR, "inner")
@@ -98,14 +100,15 @@ def match_cells(scored: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         F.lit(0).cast("long").alias("control_from"), F.lit(0.0).alias("distance"))]
     state = state.withColumns({"case_left": F.col("case_left") - same, "control_left": F.col("control_left") - same,
                                "case_used": F.col("case_used") + same, "control_used": F.col("control_used") + same})
-    largest = largest_group(state, PAIR)
+    # a pair's cells are its distinct (age, sex), so a window holds no more than these
+    ahead = Window.partitionBy(*PAIR).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*PAIR).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(max_rounds):
         live = (state.filter("case_left > 0 OR control_left > 0")
                 .withColumn("case_at", F.when(F.col("case_left") > 0, F.struct("pos", "score")))
                 .withColumn("control_at", F.when(F.col("control_left") > 0, F.struct("pos", "score"))))
-        seen = {"case": ("last", "case_at"), "control": ("last", "control_at")}
-        back = running(live, PAIR, "pos", {f"before_{k}": v for k, v in seen.items()}, largest=largest)
-        both = running(back, PAIR, "pos", {f"after_{k}": v for k, v in seen.items()}, descending=True, largest=largest)
+        both = live.withColumns({f"{word}_{side}": F.last(f"{side}_at", ignorenulls=True).over(w)
+                                 for side in ("case", "control") for word, w in (("before", ahead), ("after", behind))})
         other = lambda side: F.when(F.col("case_left") > 0, F.col(f"{side}_control")).otherwise(F.col(f"{side}_case"))
         both = both.withColumn("b", other("before")).withColumn("a", other("after"))
         gap_b, gap_a = F.col("score") - F.col("b.score"), F.col("a.score") - F.col("score")

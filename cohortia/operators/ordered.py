@@ -1,10 +1,9 @@
 """Exact ordered operators (rank, running totals, quantiles) for groups of any size.
 
-A window or ``percentile`` puts a whole group into one task. That is right for groups of
-ordinary size, so each operator first asks Spark for the largest group. Where a group is
-above ``limit`` rows the work is split: a mergeable quantile sketch proposes cut points,
-every row goes to the bucket its order value falls in, windows run per (group, bucket), and
-bucket totals carry over. The sketch only steers the split; results are exact on both ways.
+Rows are dealt by ranges of (group, order), so a range is about one task's share of the data and a
+large group lies in several. Windows run inside each range; the totals of earlier ranges of a group are
+carried over. Where rows of equal order value share a result, rows are first counted to levels, so
+many ties cost no more than one row.
 """
 
 from __future__ import annotations
@@ -14,107 +13,39 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortia.session import join_on
+from cohortia.session import cut, join_on
 
-SMALL_GROUP = 2_000_000
-BUCKETS = 64
+_PARTIAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+_CARRY = {"sum": F.sum, "count": F.sum, "row_number": F.sum, "min": F.min, "max": F.max}
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group (one aggregate over the key columns)."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def _locate(value: Column, bounds: Column, lo: int, hi: int) -> Column:
-    """Bucket number by binary search over the cut points, as one generated expression."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(value <= bounds[mid], _locate(value, bounds, lo, mid)).otherwise(
-        _locate(value, bounds, mid + 1, hi))
-
-
-def with_bucket(df: DataFrame, keys: Sequence[str], value: str, out: str = "__bucket",
-                buckets: int = BUCKETS) -> DataFrame:
-    """Tag rows with a bucket that is monotone in ``value`` inside each group."""
-    probs = [i / buckets for i in range(1, buckets)]
-    one = "__all"
-    base = df.withColumn(one, F.lit(1)) if not keys else df
-    on = list(keys) or [one]
-    cuts = base.groupBy(*on).agg(F.percentile_approx(value, probs, 2000).alias("__cuts"))
-    tagged = join_on(base, cuts, on, "left")
-    tagged = tagged.withColumn(out, _locate(F.col(value), F.col("__cuts"), 0, buckets - 1))
-    return tagged.drop("__cuts", one)
-
-
-_CARRY = {
-    "sum": F.sum, "count": F.sum, "rank": F.sum, "row_number": F.sum,
-    "min": F.min, "max": F.max,
-}
-
-
-def running(df: DataFrame, keys: Sequence[str], order: str,
-            outputs: Mapping[str, tuple[str, str | None]], *, tie_break: Sequence[str] = (),
-            descending: bool = False, peers: bool = False, limit: int = SMALL_GROUP,
-            largest: int | None = None) -> DataFrame:
-    """Cumulative columns along ``order`` inside each group.
-
-    ``outputs`` maps a new name to ``(fn, column)`` with fn one of sum, count, min, max, last,
-    rank, row_number. ``peers`` makes rows of equal order value share the result. ``last`` is
-    the latest non-NULL value. NULL order values are the caller's to remove. ``largest`` is the
-    size of the largest group where the caller has it already.
-    """
-    def ordering() -> list[Column]:
-        first = F.col(order).desc() if descending else F.col(order).asc()
-        return [first, *[F.col(c).asc() for c in tie_break]]
-
-    def local(part: Sequence[str]) -> DataFrame:
-        spec = Window.partitionBy(*part).orderBy(*ordering())
-        shared = Window.partitionBy(*part).orderBy(ordering()[0])
-        framed = (shared.rangeBetween(Window.unboundedPreceding, 0) if peers
-                  else spec.rowsBetween(Window.unboundedPreceding, 0))
-        made = {}
-        for name, (fn, col) in outputs.items():
-            if fn == "rank":
-                made[name] = F.rank().over(shared).cast("long")
-            elif fn == "row_number":
-                made[name] = F.row_number().over(spec).cast("long")
-            elif fn == "last":
-                made[name] = F.last(col, ignorenulls=True).over(framed)
-            elif fn == "count":
-                made[name] = F.count(col or F.lit(1)).over(framed)
-            else:
-                made[name] = getattr(F, fn)(col).over(framed)
-        return source.withColumns(made)
-
-    source = df
-    if (largest_group(df, keys) if largest is None else largest) <= limit:
-        return local(list(keys) or [F.lit(0)])
-
-    source = with_bucket(df, keys, order)
-    part = [*keys, "__bucket"]
-    totals = []
+def _along(df: DataFrame, keys: Sequence[str], ordering: Sequence[Column],
+           outputs: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """Cumulative columns row by row in the given order."""
+    by = [*[F.col(k).asc() for k in keys], *ordering]
+    # the write fixes which rows make up a range: both uses below must see the same ones
+    dealt = cut(df.repartitionByRange(*by).sortWithinPartitions(*by)
+                .withColumns({"__range": F.spark_partition_id(), "__nth": F.monotonically_increasing_id()}))
+    part = ["__range", *keys]
+    inside = Window.partitionBy(*part).orderBy("__nth")
+    framed = inside.rowsBetween(Window.unboundedPreceding, 0)
+    made, totals = {}, []
     for name, (fn, col) in outputs.items():
-        if fn in ("count", "rank", "row_number"):
-            totals.append(F.count(col or F.lit(1)).alias(f"__c_{name}"))
+        if fn == "row_number":
+            made[name], total = F.row_number().over(inside).cast("long"), F.count(F.lit(1))
         elif fn == "last":
-            key = F.struct(*[F.col(order) if not descending else -F.col(order), *map(F.col, tie_break)])
-            totals.append(F.max_by(col, F.when(F.col(col).isNotNull(), key)).alias(f"__c_{name}"))
+            made[name] = F.last(col, ignorenulls=True).over(framed)
+            total = F.max_by(col, F.when(F.col(col).isNotNull(), F.col("__nth")))
         else:
-            totals.append(getattr(F, fn)(col).alias(f"__c_{name}"))
-    bucket_order = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
-    before = (Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy(bucket_order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    sums = source.groupBy(*part).agg(*totals)
-    carried = {}
-    for name, (fn, _) in outputs.items():
-        col = f"__c_{name}"
-        carried[col] = (F.last(col, ignorenulls=True).over(before) if fn == "last"
-                        else _CARRY[fn](col).over(before))
-    carry = sums.withColumns(carried)
-    joined = join_on(local(part), carry, part, "left")
+            of = F.lit(1) if col is None else F.col(col)
+            made[name], total = _PARTIAL[fn](of).over(framed), _PARTIAL[fn](of)
+        totals.append(total.alias(f"__c_{name}"))
+    earlier = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carry = dealt.groupBy(*part).agg(*totals).withColumns({
+        f"__c_{name}": (F.last(f"__c_{name}", ignorenulls=True) if fn == "last" else _CARRY[fn](f"__c_{name}")).over(earlier)
+        for name, (fn, _) in outputs.items()})
+    joined = join_on(dealt.withColumns(made), carry, part, "left")
     final = {}
     for name, (fn, _) in outputs.items():
         here, past = F.col(name), F.col(f"__c_{name}")
@@ -125,59 +56,70 @@ def running(df: DataFrame, keys: Sequence[str], order: str,
         elif fn == "last":
             final[name] = F.coalesce(here, past)
         elif fn == "sum":
-            final[name] = F.when(here.isNull() & past.isNull(), None).otherwise(
-                F.coalesce(here, F.lit(0)) + F.coalesce(past, F.lit(0)))
+            final[name] = F.when(here.isNotNull() | past.isNotNull(), F.coalesce(here, F.lit(0)) + F.coalesce(past, F.lit(0)))
         else:
             final[name] = here + F.coalesce(past, F.lit(0))
-    return joined.withColumns(final).drop("__bucket", *[f"__c_{n}" for n in outputs])
+    return joined.withColumns(final).drop("__range", "__nth", *[f"__c_{n}" for n in outputs])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *,
-              extra: Sequence[Column] = (), limit: int = SMALL_GROUP) -> DataFrame:
-    """Exact linearly interpolated quantiles per group; NULL values are skipped.
+def _by_level(df: DataFrame, keys: Sequence[str], order: str, descending: bool,
+              outputs: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """Cumulative columns that rows of equal order value share."""
+    partial, steps = {}, {}
+    for name, (fn, col) in outputs.items():
+        if fn not in ("rank", *_PARTIAL):
+            raise ValueError(f"{fn} has no value that ties share")
+        of = F.lit(1) if col is None else F.col(col)
+        partial[f"__p_{name}"] = F.count(F.lit(1)) if fn == "rank" else _PARTIAL[fn](of)
+        steps[name] = ("sum" if fn in ("rank", "count") else fn, f"__p_{name}")
+    on = [*keys, order]
+    levels = df.groupBy(*on).agg(*[x.alias(n) for n, x in partial.items()])
+    run = _along(levels, keys, [F.col(order).desc() if descending else F.col(order).asc()], steps)
+    run = run.withColumns({n: F.col(n) - F.col(f"__p_{n}") + 1 for n, (fn, _) in outputs.items() if fn == "rank"})
+    return join_on(df, run.drop(*partial), on, "left")
+
+
+def running(df: DataFrame, keys: Sequence[str], order: str,
+            outputs: Mapping[str, tuple[str, str | None]], *, tie_break: Sequence[str] = (),
+            descending: bool = False, peers: bool = False) -> DataFrame:
+    """Cumulative columns along ``order`` inside each group.
 
-    ``extra`` holds further aggregate expressions to compute in the same pass.
+    ``outputs`` maps a new name to ``(fn, column)`` with fn one of sum, count, min, max, last,
+    rank, row_number. ``peers`` makes rows of equal order value share the result, as ``rank`` always
+    does. ``last`` is the latest non-NULL value. NULL order values are the caller's to remove.
     """
     keys = list(keys)
-    if largest_group(df, keys) <= limit:
-        aggs = [F.percentile(value, p).alias(n) for n, p in probs.items()]
-        return df.groupBy(*keys).agg(*aggs, *extra)
+    shared = {n: o for n, o in outputs.items() if peers or o[0] == "rank"}
+    single = {n: o for n, o in outputs.items() if n not in shared}
+    out = df
+    if single:
+        first = F.col(order).desc() if descending else F.col(order).asc()
+        out = _along(out, keys, [first, *[F.col(c).asc() for c in tie_break]], single)
+    return _by_level(out, keys, order, descending, shared) if shared else out
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *,
+              extra: Sequence[Column] = ()) -> DataFrame:
+    """Exact linearly interpolated quantiles per group; NULL values are skipped.
 
+    ``extra`` holds further aggregate expressions per group. Rows are counted to distinct values, and
+    the two values around each quantile are found by running counts.
+    """
     one = "__one"
     base = df if keys else df.withColumn(one, F.lit(1))
-    on = keys or [one]
-    live = base.filter(F.col(value).isNotNull()).select(*on, value)
-    levels = with_bucket(live, on, value).groupBy(*on, "__bucket", value).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = levels.groupBy(*on, "__bucket").agg(F.sum("__n").alias("__in"))
-    group = Window.partitionBy(*on)
-    placed = sizes.withColumns({
-        "__upto": F.sum("__in").over(group.orderBy("__bucket")),
-        "__total": F.sum("__in").over(group),
-    }).withColumn("__from", F.col("__upto") - F.col("__in"))
-    wanted = F.array_distinct(F.flatten(F.array(*[
-        F.array(F.floor((F.col("__total") - 1) * F.lit(p)), F.ceil((F.col("__total") - 1) * F.lit(p)))
-        for p in probs.values()])))
-    targets = (placed.withColumn("__pos", F.explode(wanted))
-               .filter((F.col("__pos") >= F.col("__from")) & (F.col("__pos") < F.col("__upto"))))
-    needed = targets.select(*on, "__bucket", "__from").distinct()
-    inner = Window.partitionBy(*on, "__bucket").orderBy(value)
-    local = (join_on(levels, needed, [*on, "__bucket"], "inner")
-             .withColumn("__end", F.sum("__n").over(inner) + F.col("__from"))
-             .withColumn("__start", F.col("__end") - F.col("__n")))
-    hits = (join_on(local.drop("__from"), targets.select(*on, "__bucket", "__pos", "__total"),
-                    [*on, "__bucket"], "inner")
-            .filter((F.col("__pos") >= F.col("__start")) & (F.col("__pos") < F.col("__end"))))
-    h = {n: (F.col("__total") - 1) * F.lit(p) for n, p in probs.items()}
-    picked = hits.groupBy(*on).agg(*[
-        F.max(F.when(F.col("__pos") == fn(h[n]), F.col(value))).alias(f"__{tag}_{n}")
-        for n in probs for tag, fn in (("lo", F.floor), ("hi", F.ceil))],
-        F.max("__total").alias("__total"))
-    out = picked.select(*on, *[
-        (F.col(f"__lo_{n}") + (h[n] - F.floor(h[n])) * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))).alias(n)
-        for n in probs])
-    names = base.groupBy(*on).agg(*(extra or [F.count(F.lit(1)).alias("__rows")]))
-    out = join_on(names, out, on, "left").drop("__rows")
-    return out if keys else out.drop(one)
+    on = list(keys) or [one]
+    levels = base.filter(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count(F.lit(1)).alias("__n"))
+    placed = _along(levels, on, [F.col(value).asc()], {"__end": ("sum", "__n")})
+    totals = base.groupBy(*on).agg(F.count(value).alias("__total"), *extra)
+    at = join_on(placed, totals.select(*on, "__total"), on, "inner")
+    h = {n: (F.col("__total") - 1) * F.lit(float(p)) for n, p in probs.items()}
+    holds = lambda pos: (F.col("__end") > pos) & (F.col("__end") - F.col("__n") <= pos)
+    picked = at.groupBy(*on).agg(*[
+        F.max(F.when(holds(fn(h[n])), F.col(value))).alias(f"__{tag}_{n}")
+        for n in probs for tag, fn in (("lo", F.floor), ("hi", F.ceil))])
+    out = join_on(totals, picked, on, "left")
+    out = out.withColumns({n: F.col(f"__lo_{n}") + (h[n] - F.floor(h[n])) * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) for n in probs})
+    return out.drop("__total", *[f"__{tag}_{n}" for n in probs for tag in ("lo", "hi")], *([] if keys else [one]))
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, out: str = "rank",

@@ -51,15 +51,17 @@ def drop_near_zero_variance(long: DataFrame, cohort: Cohort = DEFAULT) -> DataFr
 
 
 def knn_impute(long: DataFrame, k: int = 5, block: int = 512, cohort: Cohort = DEFAULT) -> DataFrame:
-    """Fill a NULL with the mean of the k nearest samples that hold the assay.
+    """Fill a NULL with the mean of the k nearest samples that hold the assay; cells without a row get one.
 
     Distance is the mean range-scaled absolute difference over assays both samples hold.
     """
     c = cohort
     near = nearest_observed(long, k, block, c)
     fills = near.groupBy(c.sample, c.assay).agg(F.avg("neighbour_value").alias("__fill"))
-    return (join_on(long, fills, [c.sample, c.assay], "left")
-            .withColumn(c.value, F.coalesce(c.value, "__fill")).drop("__fill"))
+    known = (join_on(long, fills, [c.sample, c.assay], "left")
+             .withColumn(c.value, F.coalesce(c.value, "__fill")).drop("__fill"))
+    added = fills.join(long.select(c.sample, c.assay), [c.sample, c.assay], "left_anti")
+    return known.unionByName(added.withColumnRenamed("__fill", c.value), allowMissingColumns=True)
 
 
 def imputation_report(before: DataFrame, after: DataFrame, cohort: Cohort = DEFAULT) -> DataFrame:

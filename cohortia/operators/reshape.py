@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.operators.ordered import running
+
 
 def wide(df: DataFrame, rows: str, names: str, value: Column, values: Sequence, fill=None) -> DataFrame:
     """Long to wide over declared names, for output tables. ``value`` is an aggregate."""
@@ -35,10 +37,19 @@ def transpose(df: DataFrame, row: str, columns: Sequence[str], values: Sequence,
 
 
 def vectors(df: DataFrame, sample: str, assay: str, value: str, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per sample with its values as an array in assay order (no wide columns)."""
-    packed = F.array_sort(F.collect_list(F.struct(F.col(assay).alias("a"), F.col(value).alias("v"))))
-    return (df.groupBy(sample, *keep).agg(packed.alias("__p"))
-            .select(sample, *keep, F.transform("__p", lambda s: s["v"]).alias("vector")))
+    """One row per sample with its values as an array in assay order (no wide columns).
+
+    A value's place follows from its assay among all assays of ``df``, so samples that lack rows of some
+    assays have NULL there.
+    """
+    places = running(df.select(assay).distinct().filter(F.col(assay).isNotNull()), [], assay, {"__place": ("row_number", None)})
+    held = df.join(places, assay).select(sample, *keep, F.struct("__place", F.col(value).alias("v")).alias("__s"))
+    packed = held.groupBy(sample, *keep).agg(F.collect_list("__s").alias("__p"))
+    packed = packed.withColumn("__every", F.sequence(F.lit(1).cast("long"), places.agg(F.count(F.lit(1))).scalar()))
+    packed = packed.withColumn("__absent", F.array_except("__every", F.col("__p")["__place"]))
+    nothing = F.lit(None).cast(df.schema[value].dataType)
+    whole = F.array_sort(F.concat("__p", F.transform("__absent", lambda i: F.struct(i.alias("__place"), nothing.alias("v")))))
+    return packed.select(sample, *keep, F.transform(whole, lambda s: s["v"]).alias("vector"))
 
 
 def stack(*parts: DataFrame) -> DataFrame:

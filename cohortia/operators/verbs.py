@@ -11,30 +11,11 @@ from cohortia.cohort import DEFAULT, Cohort
 from cohortia.operators.ordered import running
 from cohortia.session import join_on
 
-MAX_LEVELS = 10_000
-
-
 def select_as(df: DataFrame, **columns: str) -> DataFrame:
     """Select and rename in one step: ``select_as(df, new="old")``."""
     return df.select(*[F.col(old).alias(new) for new, old in columns.items()])
 
 
-def levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
-    """Sorted distinct values of a small dimension; an error above ``limit`` values."""
-    found = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values")
-    return sorted(v for v in found if v is not None)
-
-
-def levels_array(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> DataFrame:
-    """One row holding the sorted distinct values as an array; fails above ``limit`` values."""
-    found = df.select(column).distinct().limit(limit + 1)
-    packed = F.array_sort(F.collect_list(column))
-    return found.agg(F.when(F.count(F.lit(1)) <= limit, packed).otherwise(
-        F.raise_error(F.lit(f"{column} has more than {limit} distinct values"))).alias("levels"))
-
-
 def level_table(df: DataFrame, column: str, order: Sequence[str] = ()) -> DataFrame:
     """Levels with their ordinal: the declared ones first, then the rest by name."""
     distinct = df.select(F.col(column).alias("level")).filter(F.col(column).isNotNull()).distinct()
@@ -89,7 +70,7 @@ def add_absent_features(df: DataFrame, features: DataFrame, cohort: Cohort = DEF
     absent = (features.select(c.assay).distinct()
               .join(df.select(c.assay).distinct(), c.assay, "left_anti"))
     pad = (df.select(c.sample).distinct()
-           .withColumn(c.assay, F.explode(levels_array(absent, c.assay, 100_000).scalar()))
+           .join(absent)  # every sample gets every absent feature: the result is of that size
            .withColumn(c.value, F.lit(None).cast("double")))
     return df.select(c.sample, c.assay, c.value).unionByName(pad)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortia.operators.ordered import SMALL_GROUP, running
+from cohortia.operators.ordered import running
 from cohortia.session import join_on
 
 
@@ -57,7 +57,7 @@ def arcs(counts: DataFrame, order: str, value: str = "n", tie_break: Sequence[st
 
 
 def rescale(df: DataFrame, keys: Sequence[str], value: str, top: float = 100.0,
-            from_zero: bool = False) -> DataFrame:
+            from_zero: bool = False, out: str = "scaled") -> DataFrame:
     """Min-max rescale to 0..top inside each group; a group without range gets the middle.
 
     ``from_zero`` counts a zero into the range, as if the group had one more row of zero.
@@ -65,34 +65,43 @@ def rescale(df: DataFrame, keys: Sequence[str], value: str, top: float = 100.0,
     lo, hi = F.min(value), F.max(value)
     if from_zero:
         lo, hi = F.least(lo, F.lit(0.0)), F.greatest(hi, F.lit(0.0))
-    out = attach_totals(df, keys, __lo=lo, __hi=hi)
+    held = attach_totals(df, keys, __lo=lo, __hi=hi)
     scaled = (F.when(F.col(value).isNull(), None)
               .when(F.col("__hi") == F.col("__lo"), F.lit(top / 2))
               .otherwise((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * top))
-    return out.withColumn("scaled", scaled).drop("__lo", "__hi")
+    return held.withColumn(out, scaled).drop("__lo", "__hi")
 
 
-def bh_adjust(df: DataFrame, family: Sequence[str], p: str = "p_value", out: str = "adj_p",
-              limit: int = SMALL_GROUP) -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values inside each family; NULL p stays NULL."""
-    live = df.filter(F.col(p).isNotNull())
+def bh_adjust(df: DataFrame, family: Sequence[str], p: str = "p_value", out: str = "adj_p") -> DataFrame:
+    """Benjamini-Hochberg adjusted p-values inside each family; a p that is NULL or NaN gets NULL.
+
+    The rows of a family are counted to distinct p-values, both passes run over these, and the result is
+    joined back once.
+    """
     one = "__family"
-    base = live.withColumn(one, F.lit(1))
     keys = list(family) or [one]
-    ranked = running(base, keys, p, {"__k": ("count", None)}, peers=True, limit=limit)
-    sized = attach_totals(ranked, keys, __m=F.count(F.lit(1)))
-    raw = sized.withColumn("__raw", F.col(p) * F.col("__m") / F.col("__k"))
-    done = running(raw, keys, p, {out: ("min", "__raw")}, descending=True, peers=True, limit=limit)
-    done = done.withColumn(out, F.least(F.lit(1.0), F.col(out))).drop("__k", "__m", "__raw", one)
-    return done.unionByName(df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    base = df.withColumn(one, F.lit(1))
+    levels = (base.filter(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n")))
+    ranked = running(levels, keys, p, {"__k": ("sum", "__n")})
+    raw = (attach_totals(ranked, keys, __m=F.sum("__n"))
+           .withColumn("__raw", F.col(p) * F.col("__m") / F.col("__k")))
+    done = running(raw, keys, p, {out: ("min", "__raw")}, descending=True)
+    return join_on(base, done.select(*keys, p, F.least(F.lit(1.0), F.col(out)).alias(out)), [*keys, p], "left").drop(one)
 
 
 def top_with_ties(df: DataFrame, keys: Sequence[str], order: str, n: int, descending: bool = True) -> DataFrame:
-    """The n best rows per group and all their ties. Spark limits each task to its own best rows
-    before the shuffle, so hot groups shrink first."""
+    """The n best rows per group and all their ties.
+
+    Rows are counted to (group, value) first; the values that reach into the n best are at most n for a
+    group, and the rows that have them are kept by a join, so ties are never gathered in one task.
+    """
+    keys = list(keys)
     by = F.col(order).desc() if descending else F.col(order).asc()
-    w = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy(by)
-    return df.withColumn("__rank", F.rank().over(w)).filter(F.col("__rank") <= n).drop("__rank")
+    counts = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(by)
+    few = counts.withColumn("__place", F.row_number().over(w)).filter(F.col("__place") <= n)
+    best = few.withColumn("__before", F.sum("__n").over(w) - F.col("__n")).filter(F.col("__before") < n)
+    return join_on(df, best.select(*keys, order), [*keys, order], "left_semi")
 
 
 def first_rows(df: DataFrame, n: int, *order) -> DataFrame:

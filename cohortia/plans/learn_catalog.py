@@ -96,13 +96,13 @@ def feature_sweep(spark, d):
     strength = (features.join(fit.importance().select("assay", "importance"), "assay", "left")
                 .withColumn("importance", F.coalesce("importance", F.lit(0.0))))
     ranked = running(strength, [], "importance", {"place": ("row_number", None)}, tie_break=["assay"], descending=True)
-    return LN.feature_sweep(train, test, ranked.select("row", "place"), "binary", sizes=(5, 10, 20, 40))
+    return LN.feature_sweep(train, test, ranked.select("row", "place"), "binary")
 
 
 @query("K21_task_sweep")
 def task_sweep(spark, d):
     meta = emb_meta(spark, d)
-    diseases = [r[0] for r in meta.filter("disease <> 'D0'").groupBy("disease").count().filter("count >= 50").orderBy("disease").limit(3).collect()]
+    diseases = [r[0] for r in meta.filter("disease <> 'D0'").groupBy("disease").count().filter("count >= 50").orderBy("disease").collect()]
 
     def run(task, seed):
         train, test, features = parts(spark, d, case_label(task, ["D0"]), seed)

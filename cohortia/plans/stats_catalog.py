@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortia.functions import scalar as S
+from cohortia.functions import tails as TL
 from cohortia.operators import linear as LM
 from cohortia.operators import matching as M
 from cohortia.operators import neighbours as N
@@ -190,7 +191,14 @@ def long_xy(spark, d):
 def adjusted_fit(spark, d, matched=None):
     meta = emb_meta(spark, d)
     plan = all_plans(meta)
-    mom = LM.contrast_moments(long_xy(spark, d), LM.contrast_members(plan, meta, matched), ["sex", "age", "y"], ["control", "contrast"])
+    names = ["sex", "age", "y"]
+    if matched is None:  # contrasts of whole diseases
+        mom = LM.group_contrast_moments(long_xy(spark, d), plan, names)
+    else:
+        strict = matched.filter(F.col("control_disease") == HEALTHY).select(
+            F.lit("Healthy").alias("control"), "case_disease", F.col("case_sample").alias("sample_id"))
+        members = LM.contrast_members(plan, meta, matched, strict)
+        mom = LM.contrast_moments(long_xy(spark, d), members, names, ["control", "contrast"])
     return LM.contrast_fit(mom, ["control", "contrast"], ["sex", "age"], LM.pick_design(meta, plan, healthy=HEALTHY))
 
 
@@ -202,6 +210,17 @@ def differential_effects(spark, d):
     return rounded(adjusted_fit(spark, d).select(*FIT_COLS), *FIT_COLS[5:])
 
 
+@query("U6_tail_probabilities", """SELECT o_orderkey, round(1 - 2 / pi() * atan(x), 9) AS t1, round(1 - x / sqrt(2 + x * x), 9) AS t2,
+    round(1 - x * (x * x + 6) / pow(x * x + 4, 1.5), 9) AS t4, round(pow(1 + 2 * x / df, -df / 2), 9) AS f2, round(exp(-x / 2), 9) AS c2,
+    round(exp(-x / 2) * (1 + x / 2 + x * x / 8), 9) AS c6
+    FROM (SELECT o_orderkey, o_totalprice / 20000 AS x, CAST(1 + o_custkey % 60 AS DOUBLE) AS df FROM orders)""")
+def tail_probabilities(spark, d):
+    x, df = F.col("o_totalprice") / 20000, (F.col("o_custkey") % 60 + 1).cast("double")
+    tails = {"t1": TL.t_tail(x, F.lit(1.0)), "t2": TL.t_tail(x, F.lit(2.0)), "t4": TL.t_tail(x, F.lit(4.0)), "f2": TL.f_tail(x, F.lit(2.0), df),
+             "c2": TL.chi2_tail(x, F.lit(2.0)), "c6": TL.chi2_tail(x, F.lit(6.0))}
+    return table(spark, d, "orders").select("o_orderkey", *[F.round(c, 9).alias(n) for n, c in tails.items()])
+
+
 _PRIOR = 4.0
 
 
@@ -231,7 +250,7 @@ def matched_samples(spark, d):
 def matched_differential(spark, d):
     meta = emb_meta(spark, d)
     pairs = M.match_samples(meta, all_plans(meta))
-    matched = cut(pairs.select("case_disease", "control_disease", F.col("control_sample").alias("sample_id")))
+    matched = cut(pairs.select("case_disease", "control_disease", F.col("control_sample").alias("sample_id"), "case_sample"))
     return LM.differential(adjusted_fit(spark, d, matched), ["control", "contrast"], robust=True, effect_cut=0.02)
 
 

@@ -49,9 +49,11 @@ def read_semicolon(spark, d):
 
 @query("A4_read_blank_delimited", EVT_SQL)
 def read_blanks(spark, d):
-    df = evt_long(spark, d).select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in EVT_COLS])
+    df = evt_long(spark, d).select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in EVT_COLS])
     path = scratch_path(spark, "a4")
-    df.select(F.concat_ws("  ", *df.columns).alias("value")).write.text(path)
+    turned = df.columns[::-1]  # the header gives the order
+    (df.select(F.concat_ws("  ", *turned).alias("value")).unionByName(spark.range(1).select(F.lit("\t".join(turned)).alias("value")))
+     .orderBy(~F.col("value").startswith(turned[0])).write.text(path))
     return sources.read_blanks(spark, path, EVT_SCHEMA)
 
 
@@ -71,7 +73,8 @@ def read_by_extension(spark, d):
         if kind == "parquet":
             df.write.parquet(path)
         elif kind == "txt":
-            df.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns]).alias("value")).write.text(path)
+            text = df.select(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in df.columns]).alias("value"))
+            text.unionByName(spark.range(1).select(F.lit(" ".join(df.columns)).alias("value"))).orderBy(~F.col("value").startswith("s")).write.text(path)
         else:
             sources.write_csv(df, path, sep="," if kind == "csv" else "\t")
         parts.append(sources.read_table(spark, path, schema).withColumn("source_kind", F.lit(kind)))
@@ -100,13 +103,13 @@ def write_tsv(spark, d):
 
 
 @query("A9_write_csv_variants", """SELECT sep, count(*) AS n, count(DISTINCT text) AS n_text FROM
-    (SELECT unnest(['comma', 'semicolon']) AS sep, replace(text, chr(10), ' ') AS text FROM conversations) GROUP BY sep""")
+    (SELECT unnest(['comma', 'semicolon']) AS sep, text FROM conversations) GROUP BY sep""")
 def write_csv(spark, d):
-    df = table(spark, d, "conversations").select("conv_id", "turn", F.translate("text", "\n", " ").alias("text"))
+    df = table(spark, d, "conversations").select("conv_id", "turn", "text")
     parts = []
     for name, sep in (("comma", ","), ("semicolon", ";")):
         path = sources.write_csv(df, scratch_path(spark, "a9"), sep=sep)
-        back = sources.read_delimited(spark, path, "conv_id long, turn long, text string", sep, missing="\u0000")
+        back = sources.read_delimited(spark, path, "conv_id long, turn long, text string", sep, missing="\u0000", multi_line=True)
         parts.append(back.withColumn("sep", F.lit(name)))
     return (R.stack(*parts).groupBy("sep")
             .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_text")))

@@ -41,8 +41,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def release(since: int = 0) -> None:
     """Delete the scratch tables made after the first ``since`` ones; frames that read them are then of no use."""
     for spark, path in _SCRATCH[since:]:
-        if spark.sparkContext._jsc is None:
-            continue
+        if getattr(getattr(spark, "sparkContext", None), "_jsc", None) is None:
+            continue  # the session is gone
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -20,11 +20,14 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
-                   missing: str = "NA") -> DataFrame:
-    """Delimited text with a header row; quotes are doubled inside quoted text."""
+                   missing: str = "NA", multi_line: bool = False) -> DataFrame:
+    """Delimited text with a header row; quotes are doubled inside quoted text.
+
+    ``multi_line`` reads quoted text with line feeds, one task per file.
+    """
     return nan_to_null(
         spark.read.schema(_as_struct(schema)).option("header", True).option("sep", sep)
-        .option("quote", '"').option("escape", '"').option("multiLine", False)
+        .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
         .option("nullValue", missing).option("enforceSchema", False)
         .option("mode", "FAILFAST").csv(path))
 
@@ -53,15 +56,26 @@ def read_semicolon(spark: SparkSession, path: str, schema: StructType | str,
 
 
 def read_blanks(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Text with columns set apart by runs of blanks or tabs, first line being the header."""
+    """Text with columns set apart by runs of blanks or tabs, under a header line.
+
+    The header is the line that names all columns, in any order; its absence and a cell that does not fit
+    its type are errors. Lines equal to it are headers of further files.
+    """
     want = _as_struct(schema)
-    names = [f.name for f in want.fields]
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter("value <> ''")
-    parts = lines.select(F.split("value", r"\s+").alias("p"))
-    header = F.array(*[F.lit(n) for n in names])
-    return nan_to_null(parts.filter(F.col("p") != header).select(*[
-        F.nullif(F.get("p", F.lit(i)), F.lit("NA")).try_cast(f.dataType).alias(f.name)
-        for i, f in enumerate(want.fields)]))
+    lines = spark.read.text(path).select(F.trim(F.translate("value", "\t", " ")).alias("value")).filter("value <> ''")
+    wanted = F.array(*[F.lit(f.name) for f in want.fields])
+    first = lines.filter(F.size(F.array_except(wanted, F.split("value", r"\s+"))) == 0).first()
+    if first is None:
+        raise ValueError(f"no line of {path!r} names all of {[f.name for f in want.fields]}")
+    names = first["value"].split()
+    parts = lines.select(F.split("value", r"\s+").alias("p")).filter(F.col("p") != F.array(*[F.lit(n) for n in names]))
+
+    def cell(f: StructField) -> Column:
+        text = F.nullif(F.get("p", F.lit(names.index(f.name))), F.lit("NA"))
+        value = text.try_cast(f.dataType)
+        return F.when(text.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit(f"bad {f.name}: "), text))).otherwise(value)
+
+    return nan_to_null(parts.select(*[cell(f).alias(f.name) for f in want.fields]))
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -89,11 +103,12 @@ def read_seed_results(spark: SparkSession, root: str, schema: StructType | str)
     """
     raw = (spark.read.schema(_as_struct(schema)).option("header", True).option("sep", "\t")
            .option("quote", '"').option("escape", '"').option("recursiveFileLookup", True)
-           .option("nullValue", "NA").csv(root))
+           .option("nullValue", "NA").option("enforceSchema", False).option("mode", "FAILFAST").csv(root))
     where = F.col("_metadata.file_path")
     tag = r"/([^/]+)/([^/]+)/seed[_=](\d+)"
     return raw.select(
-        *raw.columns,
+        *[F.nanvl(F.col(f.name), F.lit(None)).alias(f.name) if f.dataType.simpleString() in ("double", "float") else f.name
+          for f in raw.schema.fields],
         F.regexp_extract(where, tag, 1).alias("type"),
         F.regexp_extract(where, tag, 2).alias("class"),
         F.regexp_extract(where, tag, 3).cast("int").alias("seed"))

@@ -1,8 +1,9 @@
-"""The split paths for large groups give what one window gives."""
+"""Ordered operators against one window, numpy and plain Python."""
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortia.operators import ordered as O
@@ -26,46 +27,74 @@ OUT = {"total": ("sum", "w"), "low": ("min", "w"), "high": ("max", "w"), "seen":
        "place": ("row_number", None), "rk": ("rank", None)}
 
 
+def by_window(df, keys, out, descending, peers):
+    first = F.col("v").desc() if descending else F.col("v").asc()
+    part = Window.partitionBy(*(keys or [F.lit(0)]))
+    rows = part.orderBy(first, "id").rowsBetween(Window.unboundedPreceding, 0)
+    shared = part.orderBy(first).rangeBetween(Window.unboundedPreceding, 0)
+    made = {}
+    for name, (fn, col) in out.items():
+        if fn in ("rank", "row_number"):
+            made[name] = F.rank().over(part.orderBy(first)) if fn == "rank" else F.row_number().over(part.orderBy(first, "id"))
+        elif fn == "last":
+            made[name] = F.last(col, ignorenulls=True).over(rows)
+        else:
+            made[name] = getattr(F, fn)(F.lit(1) if col is None else col).over(shared if peers else rows)
+    return df.withColumns(made)
+
+
+def same(a, b):
+    a, b = [x.toPandas().sort_values("id").reset_index(drop=True) for x in (a, b)]
+    pd.testing.assert_frame_equal(a[sorted(a.columns)], b[sorted(a.columns)], check_dtype=False, atol=1e-9)
+
+
 @pytest.mark.parametrize("keys,descending", [(["g"], False), (["g"], True), ([], False)])
-def test_running_split_equals_window(skewed, keys, descending):
+def test_running_equals_window(skewed, keys, descending):
     df, _ = skewed
-    a, b = [O.running(df, keys, "v", OUT, tie_break=["id"], descending=descending, limit=m).toPandas().sort_values("id").reset_index(drop=True)
-            for m in (10**9, 10)]
-    pd.testing.assert_frame_equal(a[sorted(a.columns)], b[sorted(a.columns)], check_dtype=False, atol=1e-9)
+    same(O.running(df, keys, "v", OUT, tie_break=["id"], descending=descending), by_window(df, keys, OUT, descending, False))
 
 
-def test_running_peers_split(skewed):
+def test_running_peers(skewed):
     df, _ = skewed
-    out = {"n": ("count", None), "low": ("min", "w")}
-    a, b = [O.running(df, ["g"], "v", out, peers=True, descending=True, limit=m).toPandas().sort_values("id").reset_index(drop=True)
-            for m in (10**9, 10)]
-    pd.testing.assert_frame_equal(a[sorted(a.columns)], b[sorted(a.columns)], check_dtype=False)
+    out = {"n": ("count", None), "low": ("min", "w"), "all": ("sum", "w"), "rk": ("rank", None)}
+    same(O.running(df, ["g"], "v", out, peers=True, descending=True), by_window(df, ["g"], out, True, True))
 
 
 @pytest.mark.parametrize("keys", [["g"], []])
-def test_quantiles_split_equals_numpy(skewed, keys):
+def test_quantiles_equal_numpy(skewed, keys):
     df, pdf = skewed
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
-    for limit in (10**9, 10):
-        got = O.quantiles(df, keys, "w", probs, extra=[F.count("w").alias("n")], limit=limit).toPandas()
+    for value in ("w", "v"):
+        got = O.quantiles(df, keys, value, probs, extra=[F.count(value).alias("n")]).toPandas()
         for _, row in got.iterrows():
             want = pdf[pdf.g == row.g] if keys else pdf
-            assert row.n == want.w.notna().sum()
+            assert row.n == want[value].notna().sum()
             for name, p in probs.items():
-                assert row[name] == pytest.approx(np.nanquantile(want.w, p), abs=1e-12)
+                assert row[name] == pytest.approx(np.nanquantile(want[value], p), abs=1e-12)
 
 
-def test_bh_split_and_by_hand(spark):
+def test_bh_by_hand(spark):
     rng = np.random.default_rng(1)
-    p = np.round(rng.random(400) ** 2, 3)
-    df = spark.createDataFrame([(i, "f", float(v)) for i, v in enumerate(p)] + [(999, "f", None)], "id long, f string, p_value double")
+    p = np.round(rng.random(400) ** 2, 2)
+    df = spark.createDataFrame([(i, "f", float(v)) for i, v in enumerate(p)] + [(999, "f", None), (998, "f", float("nan"))], "id long, f string, p_value double")
     order = np.argsort(-p, kind="stable")
     want = np.empty(len(p))
     want[order] = np.minimum(1, np.minimum.accumulate(p[order] * len(p) / np.arange(len(p), 0, -1)))
-    for limit in (10**9, 5):
-        got = W.bh_adjust(df, ["f"], limit=limit).toPandas().sort_values("id").set_index("id")
+    for family in (["f"], []):
+        got = W.bh_adjust(df, family).toPandas().sort_values("id").set_index("id")
         assert np.allclose(got.adj_p.iloc[:400], want)
-        assert np.isnan(got.adj_p.loc[999])
+        assert got.adj_p.loc[[998, 999]].isna().all()
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_top_with_many_ties(skewed, descending):
+    df, _ = skewed
+    odd = df.unionByName(df.limit(5).withColumn("v", F.lit(None).cast("double")))
+    by = F.col("v").desc() if descending else F.col("v").asc()
+    for keys, n in ((["g"], 1), (["g"], 40), ([], 7)):
+        want = odd.withColumn("r", F.rank().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(by))).filter(F.col("r") <= n).drop("r")
+        got = W.top_with_ties(odd, keys, "v", n, descending)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_hash_rank_is_a_stable_permutation(skewed):

@@ -1,7 +1,7 @@
 import pytest
 
 from cohortia import sources
-from cohortia.operators import verbs
+from cohortia.operators import joins, verbs
 from cohortia.session import scratch_path
 
 
@@ -38,13 +38,27 @@ def test_scratch_follows_the_session_setting(spark):
     assert scratch_path(spark, "x").startswith(named.rstrip("/") + "/cohortia/x-")
 
 
-def test_level_guard(spark):
-    df = spark.range(20)
-    assert verbs.levels(df, "id", 20) == list(range(20))
+def test_blank_delimited_goes_by_header(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("v\tname  id\n1.5 x 1\nNA y  2\n")
+    assert [tuple(r) for r in sources.read_blanks(spark, str(tmp_path / "a.txt"), "id long, v double").collect()] == [(1, 1.5), (2, None)]
     with pytest.raises(ValueError):
-        verbs.levels(df, "id", 19)
+        sources.read_blanks(spark, str(tmp_path / "a.txt"), "other long")
+    with pytest.raises(Exception, match="bad v"):
+        (tmp_path / "b.txt").write_text("id v\n1 x\n")
+        sources.read_blanks(spark, str(tmp_path / "b.txt"), "id long, v double").collect()
+
+
+def test_seed_results_refuse_another_header(spark, tmp_path):
+    (tmp_path / "t" / "c" / "seed_1").mkdir(parents=True)
+    (tmp_path / "t" / "c" / "seed_1" / "x.tsv").write_text("value\tevent_id\n7.0\t3\n")
+    assert [tuple(r) for r in sources.read_seed_results(spark, str(tmp_path), "value double, event_id long").collect()] == [(7.0, 3, "t", "c", 1)]
     with pytest.raises(Exception):
-        verbs.levels_array(df, "id", 19).collect()
+        sources.read_seed_results(spark, str(tmp_path), "event_id long, value double").collect()
+
+
+def test_level_pairs(spark):
+    got = joins.level_pairs(spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "k string"), "k", ("x", "y"))
+    assert sorted(map(tuple, got.collect())) == [("a", "b"), ("b", "a")]
 
 
 def test_split_two_keeps_hyphens_with_a_declared_delimiter(spark):

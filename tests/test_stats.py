@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortia.functions import tails as T
-from cohortia.operators import enrich, layers, linear, matching, neighbours, prepare, prior, roc, single
+from cohortia.operators import enrich, layers, linear, matching, neighbours, prepare, prior, reshape, roc, single
 
 
 @pytest.fixture(scope="module")
@@ -217,3 +217,35 @@ def test_histogram_without_facets(spark):
 def test_plain_prior_without_extra_spread():
     d0, s2 = prior._plain(np.array([0.0]), np.array([0.01]), np.array([0.2]))
     assert np.isinf(d0[0]) and s2[0] == 1.0
+
+
+def test_tails_on_the_driver_and_then_in_a_column(spark):
+    assert T.t_two_sided(1.0, 1.0) == pytest.approx(0.5)
+    row = spark.range(1).select(T.t_tail(F.lit(1.0), F.lit(1.0)).alias("p"), T.log_variance_shift(F.lit(4.0)).alias("s")).first()
+    assert row.p == pytest.approx(0.5)
+    assert T._lgamma(np.array([0.5, 1, 7.25, 30, 1e5])) == pytest.approx([math.lgamma(x) for x in (0.5, 1, 7.25, 30, 1e5)], rel=1e-13, abs=1e-13)
+
+
+def test_moments_with_large_means(spark):
+    df = spark.createDataFrame([("a" if i % 2 else "b", 1e8 + i, float(i % 7), 3.0e8) for i in range(100)], "g string, x double, y double, z double")
+    m = linear.moments(df, ["g"], ["x", "y", "z"])
+    p = linear.pool(m.withColumn("k", F.lit(1)), ["k"], ["x", "y", "z"]).first()
+    assert p.c_x_x == pytest.approx(83325.0) and p.c_z_z == 0 and p.c_x_y == pytest.approx(sum((i - 49.5) * (i % 7) for i in range(100)))
+
+
+def test_absent_rows_are_missing_values(spark):
+    rows = [("s1", "A", 1.0), ("s1", "B", 7.0), ("s2", "A", 1.1), ("s2", "C", 50.0), ("s3", "A", 1.0), ("s3", "B", 7.0), ("s3", "C", 50.0)]
+    df = spark.createDataFrame(rows, "sample_id string, assay string, value double")
+    vec = {r.sample_id: r.vector for r in reshape.vectors(df, "sample_id", "assay", "value").collect()}
+    assert vec == {"s1": [1.0, 7.0, None], "s2": [1.1, None, 50.0], "s3": [1.0, 7.0, 50.0]}
+    filled = {(r.sample_id, r.assay): r.value for r in prepare.knn_impute(df, k=1).collect()}
+    assert filled[("s2", "B")] == 7.0 and filled[("s1", "C")] == 50.0 and len(filled) == 9
+
+
+def test_no_sample_is_lost_in_features(spark):
+    from cohortia.operators import learn
+
+    df = spark.createDataFrame([("s1", "A", 1.0), ("s2", "A", None), ("s3", "B", 2.0)], "sample_id string, assay string, value double")
+    features = spark.createDataFrame([("A", 0.0, 2.0, 0), ("B", 1.0, 1.0, 1)], "assay string, mean double, sd double, row int")
+    got = {r.sample_id: r.features.toArray().tolist() for r in learn.feature_vectors(df, features).collect()}
+    assert got == {"s1": [0.5, 0.0], "s2": [0.0, 0.0], "s3": [0.0, 1.0]}
