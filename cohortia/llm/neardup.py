@@ -158,9 +158,10 @@ def _cores(sets: DataFrame) -> DataFrame:
 def _outside(members: DataFrame, b: Banding) -> DataFrame:
     """Pairs of one key whose components differ and that may reach the similarity, in blocks.
 
-    ``members``: key, rep, n, core, sig, comp and main (the component of the key's star). Only pairs with
-    an end outside ``main`` are left to compare. A pair goes on if its set sizes and cores allow the
-    similarity and half of the minhashes agree (at similarity 0.85 fewer do with probability 1e-5).
+    ``members``: key, table, rep, n, core, sig, comp and main (the component of the key's star). Only pairs
+    with an end outside ``main`` are left to compare. A pair goes on if its set sizes and cores allow the
+    similarity and half of the minhashes agree (at similarity 0.85 fewer do with probability 1e-5), and it does
+    so once: in the table of the first two collections that agree.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"),
                                        F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK).cast("int").alias("lefts"))
@@ -172,7 +173,7 @@ def _outside(members: DataFrame, b: Banding) -> DataFrame:
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))))
     right = right.toDF(*[f"r_{c}" for c in right.columns])
     kind = members.schema["rep"].dataType.simpleString()
-    lim, least = b.percent, b.collections * b.rows // 2
+    lim, least, tables = b.percent, b.collections * b.rows // 2, list(combinations(range(b.collections), 2))
 
     def pairs(key, lefts: pa.Table, rights: pa.Table) -> pa.Table:
         a, an, ac, ao = (lefts.column(c).to_numpy() for c in ("rep", "n", "comp", "core"))
@@ -180,18 +181,24 @@ def _outside(members: DataFrame, b: Banding) -> DataFrame:
         asig, rsig = (c.combine_chunks().flatten().to_numpy().reshape(len(c), -1)
                       for c in (lefts.column("sig"), rights.column("r_sig")))
         out = [np.zeros(0, a.dtype)], [np.zeros(0, a.dtype)]
+        here = tables[lefts.column("table")[0].as_py()] if len(a) else None
         for i in range(len(a) if len(r) else 0):
             # two classes outside the star come up from both sides; one is enough
             most = np.minimum(ro, ao[i])
             ok = (rc != ac[i]) & ((rc == rm) | (r > a[i])) & (100 * most >= lim * (rn + an[i] - most))
             hit = np.flatnonzero(ok)
-            hit = r[hit[(rsig[hit] == asig[i]).sum(axis=1) >= least]]
+            same = rsig[hit] == asig[i]
+            enough = same.sum(axis=1) >= least
+            hit, agree = r[hit[enough]], same[enough].reshape(-1, b.collections, b.rows).all(axis=2)
+            lead = agree.argmax(axis=1)
+            agree[np.arange(len(hit)), lead] = False
+            hit = hit[(lead == here[0]) & (agree.argmax(axis=1) == here[1])]
             out[0].append(np.minimum(hit, a[i]))
             out[1].append(np.maximum(hit, a[i]))
         return pa.table({"a": np.concatenate(out[0]), "b": np.concatenate(out[1])})
 
     return (left.groupBy("key", "i", "j").cogroup(right.groupBy("r_key", "r_i", "r_j"))
-            .applyInArrow(pairs, f"a {kind}, b {kind}").distinct())
+            .applyInArrow(pairs, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", banding: Banding | None = None) -> DataFrame:
@@ -203,8 +210,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
                   .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     tables = list(combinations(range(b.collections), 2))
     band = [F.slice("sig", i * b.rows + 1, b.rows) for i in range(b.collections)]
-    keys = cut(classes.select("rep", "n", F.explode(F.array(*[F.xxhash64(F.lit(i * b.collections + j), band[i], band[j])
-                                                               for i, j in tables])).alias("key")))
+    keys = cut(classes.select("rep", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(i * b.collections + j), band[i], band[j])
+                                                                  for i, j in tables])).alias("table", "key")))
     stars = cut(keys.groupBy("key").agg(F.min("rep").alias("star"), F.count("*").alias("size")).filter("size > 1"))
     met = cut(keys.join(stars, "key"))
     n_star = met.filter("rep = star").select("key", F.col("n").alias("star_n"))
@@ -221,7 +228,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", b
     placed = (met.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
               .withColumn("comp", F.coalesce("component", "rep")))
     home = placed.filter("rep = star").select("key", F.col("comp").alias("main"))
-    open_keys = placed.join(home, "key").select("key", "rep", "n", "comp", "main")
+    open_keys = placed.join(home, "key").select("key", "table", "rep", "n", "comp", "main")
     split = open_keys.filter("comp != main").select("key").distinct()
     open_keys = cut(open_keys.join(split, "key", "left_semi"))
     cores = cut(_cores(sets.join(open_keys.select("rep").distinct(), "rep", "left_semi")).filter(F.col("core") > 0))
