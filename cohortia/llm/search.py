@@ -8,7 +8,7 @@ known so far are taken out by compaction. The first threshold comes from scoring
 in full. Each pair of blocks passes on k rows a query at most.
 
 Components are floor(256 * x) as whole numbers; sums are exact in doubles up to 2**53, and beyond that
-Python integers are used (scores are then held to the range of a long).
+Python integers are used (scores are held to the range of a long before they are ranked).
 
 Defined results: vectors that are NULL or hold NULL or non-finite components, and rows without an id, take
 no part; shorter vectors count as filled up with zeros; rows with the query's own id are no
@@ -82,9 +82,9 @@ class Columns:
         ints = [int(x) for x in q]
         alive = np.flatnonzero(self.ids != query_id)
         score = [sum(a * int(b) for a, b in zip(ints, self.rows[i], strict=True)) for i in alive]
-        order = sorted(range(len(alive)), key=lambda i: (-score[i], self.ids[alive[i]]))[:k]
-        held = [min(max(score[i], -(1 << 63)), (1 << 63) - 1) for i in order]
-        return self.ids[alive[order]] if order else self.ids[:0], np.array(held, np.int64)
+        held = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in score]
+        order = sorted(range(len(alive)), key=lambda i: (-held[i], self.ids[alive[i]]))[:k]
+        return self.ids[alive[order]] if order else self.ids[:0], np.array([held[i] for i in order], np.int64)
 
     @staticmethod
     def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

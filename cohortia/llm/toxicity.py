@@ -49,6 +49,9 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _LETTER = np.zeros(256, bool)
 _LETTER[[ord(c) for c in _LETTERS]] = True
 _LETTER[0x80:] = True
+_OPENING, _CLOSING = np.zeros(256, bool), np.zeros(256, bool)
+_OPENING[[ord(c) for c in "0123456789@$|!("]] = True
+_CLOSING[[ord(c) for c in "0123456789@$|"]] = True
 _SYMBOL = np.full(256, 27, np.int64)  # letters 1-26, other bytes of words 27, edge 0
 _SYMBOL[[ord(c) for c in _LETTERS]] = np.arange(1, 27)
 _N = 28
@@ -117,6 +120,11 @@ class Tokens:
         self.full = z > a  # words with a letter
         self.start = np.where(self.full, np.append(at, 0)[np.minimum(a, len(at))], w.start)
         self.end = np.where(self.full, np.append(at, 0)[np.maximum(z - 1, 0)] + 1, w.start)
+        # one sign that may be a letter, right before the first or after the last letter, belongs to the word
+        if len(low):
+            ahead = self.full & (self.start - w.start == 1) & _OPENING[low[w.start]]
+            behind = self.full & (w.end - self.end == 1) & _CLOSING[low[w.end - 1]]
+            self.start, self.end = self.start - ahead, self.end + behind
         signs = np.append(0, np.cumsum(~letter))
         self.mixed = self.full & (signs[self.end] > signs[self.start])
         drawn = np.zeros(len(low) + 1, bool)
@@ -124,7 +132,6 @@ class Tokens:
             drawn[2:-1] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] < 0x80)
         runs = np.append(0, np.cumsum(drawn))
         self.drawn = self.full & (self.end - self.start > 2) & (runs[self.end] > runs[np.minimum(self.start + 2, self.end)])
-        # a sign at an end may be part of the word too: a letter-like sign next to it and no junk after each word
         single = (self.end - self.start == 1) & (low[np.minimum(self.start, max(len(low) - 1, 0))] < 0x80) & (w.end - w.start <= 2) if len(low) else self.full
         self.single = self.full & single
 
