@@ -19,8 +19,9 @@ def brute_top(rows, k, step):
     out = set()
     for qid in {i for i, _ in sound if i % step == 0}:
         q = min(v for i, v in sound if i == qid)
-        scores = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in sound if i != qid)[:k]
-        out |= {(qid, n + 1, i, max(min(-s, 2**63 - 1), -2**63)) for n, (s, i) in enumerate(scores)}
+        held = ((max(min(sum(a * b for a, b in zip(q, v)), 2**63 - 1), -2**63), i) for i, v in sound if i != qid)
+        scores = sorted((-s, i) for s, i in held)[:k]
+        out |= {(qid, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
     return out
 
 
@@ -87,10 +88,10 @@ def test_mixing_without_training_texts(spark):
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    h = words.mix(np.arange(1, 301, dtype=np.uint64))
-    c = rng.integers(1, 40, 300)
+    h = words.mix(np.arange(1, 1501, dtype=np.uint64))
+    c = rng.integers(1, 40, 1500)
     code = mixlm.code_of(h)
-    totals = mixlm.Totals(int(c.sum()), 300, int((c == 1).sum()), np.bincount(code, c, 1 << mixlm.BITS), np.sort(h[:5]))
+    totals = mixlm.Totals(int(c.sum()), 1500, int((c == 1).sum()), np.bincount(code, c, 1 << mixlm.BITS), np.sort(h[:5]))
     zeros, ones = np.zeros(mixlm.SLOTS, np.int64), np.zeros(mixlm.SLOTS, np.int64)
     table = np.zeros(2 * mixlm.SLOTS, np.int64)
     stream = np.repeat(h, c)
