@@ -1,5 +1,8 @@
 import collections
 import importlib.util
+import random
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortia.llm import queries
@@ -16,8 +19,9 @@ def rows_of(df):
 
 
 def test_stages_one_by_one(spark, sf_dir):
-    rows = H.awkward() + [(10_000 + i, f"{t} token = abcdef{i:020d} {H.prose(__import__('random').Random(i), 60)}", None, "a", 3) for i, t in enumerate(["x", "y"])]
-    docs = spark.createDataFrame(rows, H.SCHEMA).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select(corpus_pipeline.COLUMNS))
+    rows = H.awkward() + [(10_000 + i, f"{t} token = abcdef{i:020d} {H.prose(random.Random(i), 60)}", None, "a", 3) for i, t in enumerate(["x", "y"])]
+    docs = spark.createDataFrame(rows, H.SCHEMA).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet")
+                                                             .withColumn("doc_id", F.col("doc_id") + 100_000).select(corpus_pipeline.COLUMNS))
     docs = H.clashing(docs)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "near_dedup", "secret_scan", "mix_sources", "pack_sequences"]
