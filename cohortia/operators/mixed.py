@@ -64,6 +64,21 @@ class _Profile:
         self.between = [_square(np.asarray(v), p + 1) for v in pdf["between"]]
         self.p, self.rows = p, float((self.n * self.subjects).sum())
 
+        self.kept = list(range(p))
+
+    def independent(self) -> _Profile:
+        """The same without columns that earlier ones determine (as sex where only one occurs)."""
+        x, kept = self.total[:-1, :-1], []
+        scale = np.sqrt(np.maximum(np.diag(x), 1e-300))
+        unit = x / np.outer(scale, scale)
+        for j in range(self.p):
+            if np.linalg.matrix_rank(unit[np.ix_([*kept, j], [*kept, j])], tol=1e-10) > len(kept):
+                kept.append(j)
+        at = np.ix_([*kept, self.p], [*kept, self.p])
+        self.total, self.between = self.total[at], [b[at] for b in self.between]
+        self.p, self.kept = len(kept), kept
+        return self
+
     def parts(self, ratio: float):
         g = ratio / (1 + self.n * ratio)
         m = self.total - sum(w * b for w, b in zip(g, self.between))
@@ -137,10 +152,9 @@ def fit_statistics(stats: DataFrame, names: Sequence[str]) -> DataFrame:
     terms = ["(Intercept)", *names[1:]]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        prof = _Profile(pdf, len(names))
-        nothing = pd.DataFrame({c.split()[0]: [] for c in FIT_SCHEMA.split(", ")})
-        if prof.rows <= prof.p or np.linalg.matrix_rank(prof.total[:-1, :-1]) < prof.p:
-            return nothing
+        prof = _Profile(pdf, len(names)).independent()
+        if prof.rows <= prof.p:
+            return pd.DataFrame({c.split()[0]: [] for c in FIT_SCHEMA.split(", ")})
         ratio = prof.best()
         singular = np.sqrt(ratio) < SINGULAR
         a, beta, rss, _ = prof.parts(ratio)
@@ -152,7 +166,7 @@ def fit_statistics(stats: DataFrame, names: Sequence[str]) -> DataFrame:
         whole = fixed + su + se
         marginal, random = fixed / whole, 0.0 if singular else su / whole
         return pd.DataFrame({
-            "assay": pdf["assay"].iloc[0], "term": terms, "estimate": beta, "std_error": err, "statistic": beta / err, "df": df,
+            "assay": pdf["assay"].iloc[0], "term": [terms[i] for i in prof.kept], "estimate": beta, "std_error": err, "statistic": beta / err, "df": df,
             "p_value": t_two_sided(beta / err, df), "fixed_share": marginal, "random_share": random,
             "residual_share": 1 - marginal - random, "var_subject": su, "var_residual": se,
             "criterion": prof.criterion(ratio), "n": int(prof.rows), "singular": bool(singular)})

@@ -11,9 +11,14 @@ from cohortia.operators.roc import auc, score_levels
 from cohortia.session import cut, join_on
 
 
-def logit_fit(df: DataFrame, keys: Sequence[str], x: str, case: Column, steps: int = 12) -> DataFrame:
-    """Intercept and slope per group by Newton steps, each one grouped aggregate over the rows."""
+def logit_fit(df: DataFrame, keys: Sequence[str], x: str, case: Column, steps: int = 100, tolerance: float = 1e-9) -> DataFrame:
+    """Intercept and slope per group by Newton steps, each one grouped aggregate over the rows.
+
+    Steps go on until no group moves by ``tolerance``; groups that are separated perfectly have no end,
+    and are told by ``converged`` after ``steps``.
+    """
     rows = df.select(*keys, F.col(x).alias("x"), case.cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    rows = cut(rows)
     shape = rows.groupBy(*keys).agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.avg("y").alias("rate"))
     beta = cut(shape.filter("s > 0 AND rate > 0 AND rate < 1").select(
         *keys, "m", "s", F.log(F.col("rate") / (1 - F.col("rate"))).alias("b0"), F.lit(0.0).alias("b1"), F.lit(1.0).alias("move")))
@@ -29,15 +34,15 @@ def logit_fit(df: DataFrame, keys: Sequence[str], x: str, case: Column, steps: i
                    .withColumn("d1", move("h00 * g1 - h01 * g0"))
                    .select(*keys, "m", "s", (F.col("b0") + F.col("d0")).alias("b0"), (F.col("b1") + F.col("d1")).alias("b1"),
                            F.greatest(F.abs("d0"), F.abs("d1")).alias("move")))
-        if (beta.agg(F.max("move")).first()[0] or 0) < 1e-9:
+        if (beta.agg(F.max("move")).first()[0] or 0) < tolerance:
             break
     return beta.select(*keys, (F.col("b0") - F.col("b1") * F.col("m") / F.col("s")).alias("intercept"),
-                       (F.col("b1") / F.col("s")).alias("slope"))
+                       (F.col("b1") / F.col("s")).alias("slope"), (F.col("move") < tolerance).alias("converged"))
 
 
 def predict(df: DataFrame, fit: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     eta = F.col("intercept") + F.col("slope") * F.col(x)
-    return join_on(df, fit, keys, "inner").withColumn("probability", 1 / (1 + F.exp(-eta))).drop("intercept", "slope")
+    return join_on(df, fit, keys, "inner").withColumn("probability", 1 / (1 + F.exp(-eta))).drop("intercept", "slope", "converged")
 
 
 def single_assay_auc(train: DataFrame, test: DataFrame, keys: Sequence[str], x: str, case: Column) -> DataFrame:

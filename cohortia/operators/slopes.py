@@ -121,8 +121,12 @@ def _advance(row: pd.Series, vals: np.ndarray) -> tuple:
     return row["assay"], row["n"], "design", list(map(float, best)), width, float(vals[at]), gain, _design(best, width)
 
 
-def fit_slopes(chunks: DataFrame, start: DataFrame, q: int, max_rounds: int = 8, tolerance: float = 1e-6) -> DataFrame:
-    """Best variance parameters and criterion per assay; ``start`` holds (assay, n, ratio)."""
+def fit_slopes(chunks: DataFrame, start: DataFrame, q: int, max_rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+    """Best variance parameters and criterion per assay; ``start`` holds (assay, n, ratio).
+
+    An assay leaves the rounds when a round gains less than ``tolerance``; ``converged`` tells those that
+    were still gaining after ``max_rounds``.
+    """
 
     def begin(batches):
         for pdf in batches:
@@ -139,12 +143,17 @@ def fit_slopes(chunks: DataFrame, start: DataFrame, q: int, max_rounds: int = 8,
         return pd.DataFrame([_advance(pdf.iloc[0], vals)], columns=[c.split()[0] for c in STATE.split(", ")])
 
     state = cut(start.select("assay", "n", "ratio").mapInPandas(begin, STATE))
+    done = state.limit(0)
     for i in range(2 * max_rounds):
         scored = evaluate(chunks, state, q).join(state, "assay")
         state = cut(scored.groupBy("assay").applyInPandas(step, STATE))
-        if i % 2 == 1 and (state.agg(F.max("gain")).first()[0] or 0) < tolerance:
-            break
-    return state.select("assay", F.col("center").alias("theta"), F.col("best").alias("criterion"))
+        if i % 2 == 1:
+            done = done.unionByName(state.filter(F.col("gain") < tolerance))
+            state = state.filter(F.col("gain") >= tolerance)
+            if state.isEmpty():
+                break
+    return done.unionByName(state).select("assay", F.col("center").alias("theta"), F.col("best").alias("criterion"),
+                                          (F.col("gain") < tolerance).alias("converged"))
 
 
 def _raw_singular(theta, mean: float, sd: float, q: int) -> bool:
@@ -162,7 +171,7 @@ def _singular_column(q: int):
     return flag("theta", "m", "s")
 
 
-def compare_slopes(long: DataFrame, cohort: Cohort = DEFAULT, max_rounds: int = 8, chunk: int = CHUNK) -> DataFrame:
+def compare_slopes(long: DataFrame, cohort: Cohort = DEFAULT, max_rounds: int = 40, chunk: int = CHUNK) -> DataFrame:
     """Random intercept against random age slope against random age and sex slopes.
 
     All share the fixed effects ``age * sex``. Age is centred and scaled inside the fit and

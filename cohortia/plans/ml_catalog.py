@@ -112,16 +112,17 @@ def subgroup_auc(spark, d):
 
 
 _PROB = """pr AS (SELECT vec_id AS sample_id, 'D' || label AS truth, """ + ", ".join(
-    f"round(exp(embedding[{i + 1}]::DOUBLE), 4) AS p_D{i}" for i in range(10)) + """ FROM embeddings),
+    f"round(exp({' + '.join(f'embedding[{j + 1}]::DOUBLE' for j in range(i, 64, 10))}), 4) AS p_D{i}" for i in range(10)) + """ FROM embeddings),
     pl AS (SELECT sample_id, truth, replace(label, 'p_', '') AS label, score FROM pr UNPIVOT (score FOR label IN (""" + ", ".join(
     f"p_D{i}" for i in range(10)) + ")))"
 
 
 def probabilities(spark, d):
-    """One score per label from the first ten vector entries."""
+    """One score per label from all vector entries: label i takes the entries whose place ends in i."""
     e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("sample_id"), F.concat(F.lit("D"), F.col("label").cast("string")).alias("truth"), *[
-        F.round(F.exp(F.col("embedding")[i].cast("double")), 4).alias(f"p_D{i}") for i in range(10)])
+        F.round(F.exp(sum((F.col("embedding")[j].cast("double") for j in range(i + 10, 64, 10)), F.col("embedding")[i].cast("double"))), 4)
+        .alias(f"p_D{i}") for i in range(10)])
 
 
 def long_probabilities(spark, d):

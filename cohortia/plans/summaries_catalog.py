@@ -116,12 +116,20 @@ def group_means(spark, d):
     return rounded(D.group_means(line_long(spark, d), ["assay", "batch"]), "mean_value")
 
 
-@query("D12_group_centres", sql("emb_meta", "pts AS (SELECT class, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings e JOIN emb_meta m ON vec_id = sample_id)",
+# two fixed scores of a vector: the sums of its even and of its odd entries, added in order
+_XY_SQL = ", ".join(" + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(first, 64, 2)) + f" AS {name}" for first, name in ((0, "x"), (1, "y")))
+
+
+def points(spark, d):
+    def score(first):
+        return sum((F.col("embedding")[i].cast("double") for i in range(first + 2, 64, 2)), F.col("embedding")[first].cast("double"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), score(0).alias("x"), score(1).alias("y"))
+
+
+@query("D12_group_centres", sql("emb_meta", "pts AS (SELECT class, " + _XY_SQL + " FROM embeddings e JOIN emb_meta m ON vec_id = sample_id)",
     body="SELECT class, round(median(x), 6) AS x_centre, round(median(y), 6) AS y_centre FROM pts GROUP BY 1"))
 def group_centres(spark, d):
-    pts = (table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("sample_id"), F.col("embedding")[0].cast("double").alias("x"),
-        F.col("embedding")[1].cast("double").alias("y")).join(emb_meta(spark, d), "sample_id"))
+    pts = points(spark, d).join(emb_meta(spark, d), "sample_id")
     return rounded(D.group_centres(pts, "class", ("x", "y")), "x_centre", "y_centre")
 
 
@@ -341,16 +349,14 @@ def density(spark, d):
     return out.withColumns({"x": r6("x"), "median": r6("median"), "density": F.round("density", 9)})
 
 
-@query("L5_ellipse", sql("emb_meta", "pts AS (SELECT class, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings JOIN emb_meta ON vec_id = sample_id)",
+@query("L5_ellipse", sql("emb_meta", "pts AS (SELECT class, " + _XY_SQL + " FROM embeddings JOIN emb_meta ON vec_id = sample_id)",
     "m AS (SELECT class, count(*) AS n, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM pts GROUP BY 1)",
     body="""SELECT class, n, round(cx, 6) AS cx, round(cy, 6) AS cy, round(vx, 6) AS vx, round(vy, 6) AS vy, round(vxy, 6) AS vxy,
     round(sqrt(((vx + vy) / 2 + sqrt(pow((vx - vy) / 2, 2) + pow(vxy, 2))) * 5.991464547107979), 6) AS major,
     round(sqrt(greatest((vx + vy) / 2 - sqrt(pow((vx - vy) / 2, 2) + pow(vxy, 2)), 0) * 5.991464547107979), 6) AS minor,
     round(atan2(2 * vxy, vx - vy) / 2, 6) AS angle FROM m"""))
 def ellipse(spark, d):
-    pts = (table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("sample_id"), F.col("embedding")[0].cast("double").alias("x"),
-        F.col("embedding")[1].cast("double").alias("y")).join(emb_meta(spark, d), "sample_id"))
+    pts = points(spark, d).join(emb_meta(spark, d), "sample_id")
     return rounded(L.ellipse(pts, ["class"], ("x", "y")), "cx", "cy", "vx", "vy", "vxy", "major", "minor", "angle")
 
 
