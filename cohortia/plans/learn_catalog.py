@@ -3,6 +3,7 @@ library's defaults (20 penalties, 10 folds); all rows are used."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortia import sources
@@ -47,6 +48,31 @@ def lasso_binary(spark, d):
     return LN.probabilities(fit.predict(test), ["control", "case"], ["sample_id", "disease", "label"])
 
 
+def optimality(rows, fit, miss):
+    """How many assays there are and how many break the conditions of a lasso optimum: the mean gradient is within the
+    penalty where a coefficient is zero, and equals it against the sign elsewhere. ``miss`` is prediction minus label."""
+    coef = fit.importance().join(fit.features.select("assay", "row"), "assay")
+    grad = (fit.predict(rows).select(miss.alias("e"), F.posexplode(vector_to_array("features")).alias("row", "x"))
+            .groupBy("row").agg(F.avg(F.col("e") * F.col("x")).alias("g")))
+    slack = 2e-3 + 0.01 * fit.penalty
+    bad = F.when(F.col("estimate") == 0, F.abs("g") > fit.penalty + slack).otherwise(
+        F.abs(F.col("g") + F.signum("estimate") * fit.penalty) > slack)
+    return grad.join(coef, "row").agg(F.count(F.lit(1)).alias("assays"), F.count_if(bad).alias("violations"))
+
+
+@query("K5_lasso_binary_optimality", "SELECT CAST(max(len(embedding)) AS BIGINT) AS assays, 0::BIGINT AS violations FROM embeddings")
+def lasso_binary_optimality(spark, d):
+    fit, train, _ = binary(spark, d)
+    return optimality(train, fit, vector_to_array("probability")[1] - F.col("label"))
+
+
+@query("K6_lasso_linear_optimality", "SELECT CAST(max(len(embedding)) AS BIGINT) AS assays, 0::BIGINT AS violations FROM embeddings")
+def lasso_linear_optimality(spark, d):
+    train, _, features = parts(spark, d, F.col("age") / 100)
+    fit = LN.fit_lasso(P.quartile_strata(train, "label"), features, "linear", stratum="stratum", penalties=GRID, v=3)
+    return optimality(train, fit, F.col("prediction") - F.col("label"))
+
+
 @query("K5_lasso_binary_balanced_auc")
 def lasso_balanced(spark, d):
     fit, _, test = binary(spark, d, controls=["D0"], balance=True)

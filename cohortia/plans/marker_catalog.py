@@ -24,6 +24,25 @@ def pca_scores(spark, d):
     return PR.pca(emb_values(spark, d))[0]
 
 
+@query("J6_pca_identities", """SELECT 'PC' || i AS a, 'PC' || j AS b, CAST(i = j AS INTEGER) * 1.0::DOUBLE AS loading_product, CAST(i = j AS INTEGER) * 1.0::DOUBLE AS score_product
+    FROM range(1, 6) x(i), range(1, 6) y(j) WHERE i <= j""")
+def pca_identities(spark, d):
+    """Loadings are orthonormal; scores are uncorrelated, with the variances that the shares of the total (one for each assay) say."""
+    scores, loadings, shares = PR.pca(emb_values(spark, d))
+    total = loadings.agg(F.countDistinct("assay").alias("n"))
+
+    def products(df, key, value, scale):
+        left, right = df.select(key, F.col("component").alias("a"), F.col(value).alias("x")), df.select(key, F.col("component").alias("b"), F.col(value).alias("y"))
+        return left.join(right, key).filter("a <= b").groupBy("a", "b").agg(scale)
+
+    load = products(loadings, "assay", "loading", F.sum(F.col("x") * F.col("y")).alias("l"))
+    cov = products(scores, "sample_id", "score", F.covar_samp("x", "y").alias("c"))
+    whole = shares.withColumn("v", F.col("share") * total.scalar())
+    both = (load.join(cov, ["a", "b"]).join(whole.select(F.col("component").alias("a"), F.col("v").alias("va")), "a")
+            .join(whole.select(F.col("component").alias("b"), F.col("v").alias("vb")), "b"))
+    return both.select("a", "b", F.abs(F.round("l", 6)).alias("loading_product"), F.abs(F.round(F.col("c") / F.sqrt(F.col("va") * F.col("vb")), 6)).alias("score_product"))
+
+
 @query("J6_top_loadings")
 def pca_loadings(spark, d):
     return PR.top_loadings(PR.pca(emb_values(spark, d))[1])

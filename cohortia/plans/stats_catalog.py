@@ -92,9 +92,20 @@ def neighbour_edges(spark, d):
     return rounded(N.nearest(z, "sample_id", "vector", 15), "distance")
 
 
-@query("J7_neighbour_weights")
+@query("J7_neighbour_weights", sql("emb_values", "z AS (SELECT sample_id, assay, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS v FROM emb_values WINDOW w AS (PARTITION BY assay))",
+    "p AS (SELECT sample_id, list(v ORDER BY assay) AS v FROM z GROUP BY 1)",
+    "n AS (SELECT a.sample_id, b.sample_id AS neighbour, list_distance(a.v, b.v) AS distance FROM p a JOIN p b ON a.sample_id <> b.sample_id)",
+    """e AS (SELECT sample_id, neighbour, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER
+    (PARTITION BY sample_id ORDER BY distance, neighbour) AS rank FROM n) WHERE rank <= 15)""",
+    "m AS (SELECT sample_id, min(distance) AS near FROM e GROUP BY 1)",
+    "g AS (SELECT sample_id, near, list(distance - near) AS ds FROM e JOIN m USING (sample_id) GROUP BY 1, 2)",
+    """b(sample_id, near, ds, i, lo, hi) AS (SELECT sample_id, near, ds, 0, CAST(-20 AS DOUBLE), CAST(20 AS DOUBLE) FROM g UNION ALL
+    SELECT sample_id, near, ds, i + 1, CASE WHEN s > log2(15) THEN lo ELSE (lo + hi) / 2 END, CASE WHEN s > log2(15) THEN (lo + hi) / 2 ELSE hi END
+    FROM (SELECT *, list_sum([exp(-x / exp((lo + hi) / 2)) FOR x IN ds]) AS s FROM b WHERE i < 64))""",
+    body="""SELECT e.sample_id, neighbour, distance, round(exp(-(distance - near) / exp((lo + hi) / 2)), 6) AS weight
+    FROM e JOIN b ON b.sample_id = e.sample_id AND i = 64""").replace("WITH ", "WITH RECURSIVE ", 1))
 def neighbour_weights(spark, d):
-    return N.neighbour_graph(neighbour_edges(spark, d), "sample_id", 15)
+    return rounded(N.neighbour_graph(neighbour_edges(spark, d), "sample_id", 15), "weight")
 
 
 # --- linear models --------------------------------------------------------------------------
@@ -246,6 +257,23 @@ def matched_samples(spark, d):
     return M.match_samples(meta, all_plans(meta))
 
 
+@query("J15_match_counts", sql("emb_meta", *_PLAN_ALL, "pp AS (SELECT DISTINCT case_disease, control_disease FROM plan)",
+    "mm AS (SELECT * FROM emb_meta WHERE age IS NOT NULL AND sex IS NOT NULL)",
+    "ca AS (SELECT disease AS case_disease, count(*) AS n, list(DISTINCT sex) AS sexes FROM mm GROUP BY 1)",
+    """both_n AS (SELECT case_disease, control_disease, any_value(ca.n) AS nc, count(*) AS nk FROM pp JOIN ca USING (case_disease)
+    JOIN mm ON mm.disease = control_disease AND list_contains(sexes, mm.sex) GROUP BY 1, 2)""",
+    body="""SELECT case_disease, control_disease, least(nc, nk) AS n_pairs, least(nc, nk) AS n_cases, least(nc, nk) AS n_controls, TRUE AS one_sex_kept
+    FROM both_n"""))
+def match_counts(spark, d):
+    """Every pair is as large as the smaller side, no sample is used twice, and no control has a sex the cases lack."""
+    meta = emb_meta(spark, d)
+    pairs = M.match_samples(meta, all_plans(meta))
+    sexes = meta.groupBy(F.col("disease").alias("case_disease")).agg(F.collect_set("sex").alias("sexes"))
+    return (pairs.join(sexes, "case_disease").groupBy("case_disease", "control_disease").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("case_sample").alias("n_cases"), F.countDistinct("control_sample").alias("n_controls"),
+        F.every(F.array_contains("sexes", F.col("control_sex"))).alias("one_sex_kept")))
+
+
 @query("J15_matched_differential")
 def matched_differential(spark, d):
     meta = emb_meta(spark, d)
