@@ -41,10 +41,11 @@ def pair_cells(meta: DataFrame, plan: DataFrame, cohort: Cohort = DEFAULT) -> Da
     return both.join(sexes, ["case_disease", "sex"], "left_semi").withColumn("x_sex", numeric_sex(F.col("sex")))
 
 
-def propensity(levels: DataFrame, steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
+def propensity(levels: DataFrame, steps: int = 25, tolerance: float = 1e-10) -> DataFrame:
     """Logistic regression of case on age and sex for every pair; adds ``score``.
 
-    One grouped aggregate per Newton step serves all pairs. Age is centred and scaled per pair.
+    One grouped aggregate per Newton step serves all pairs. Age is centred and scaled per pair. A pair that
+    sex or age separates has no finite optimum; its scores are 0 or 1 within rounding long before ``steps``.
     """
     w = F.col("cases") + F.col("controls")
     shape = (levels.groupBy(*PAIR).agg(

@@ -11,7 +11,7 @@ from cohortia.operators.roc import auc, score_levels
 from cohortia.session import cut, join_on
 
 
-def logit_fit(df: DataFrame, keys: Sequence[str], x: str, case: Column, steps: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def logit_fit(df: DataFrame, keys: Sequence[str], x: str, case: Column, steps: int = 25, tolerance: float = 1e-9) -> DataFrame:
     """Intercept and slope per group by Newton steps, each one grouped aggregate over the rows.
 
     Steps go on until no group moves by ``tolerance``; groups that are separated perfectly have no end,
