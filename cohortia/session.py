@@ -33,7 +33,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for one table below the shared folder, deleted when this process ends or by `release`."""
     path = f"{shared_dir(spark).rstrip('/')}/cohortia/{name}-{uuid.uuid4().hex}"
     if not _SCRATCH:
-        atexit.register(release)
+        atexit.register(_release_at_exit)
     _SCRATCH.append((spark, path))
     return path
 
@@ -49,6 +49,13 @@ def release(since: int = 0) -> None:
     del _SCRATCH[since:]
 
 
+def _release_at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the session's JVM may be gone; its shared folder is then the caller's to clear
+        _SCRATCH.clear()
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Deletes at its end the scratch tables made inside; run the actions inside as well."""
