@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from cohortia.session import cut
 
 #: Classes of one key that a task sees at once when components are compared.
 BLOCK = 256
+#: Chance that the minhash bound may miss a pair right at the similarity.
+RARE = 4e-5
 
 
 @dataclass(frozen=True)
@@ -48,6 +51,15 @@ class Banding:
     def salts(self) -> np.ndarray:
         return W.mix(np.arange(1, self.collections * self.rows + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
+    def least(self) -> int:
+        """Minhashes that have to agree: a pair right at the similarity has fewer with probability below ``RARE``."""
+        n, p, below = self.collections * self.rows, self.percent / 100, 0.0
+        for k in range(n):
+            below += comb(n, k) * p**k * (1 - p) ** (n - k)
+            if below >= RARE:
+                return k
+        return n
+
 
 def shingle_sets(texts: W.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(digests, first index of each text and the total): sorted distinct shingles of each text."""
@@ -160,8 +172,7 @@ def _outside(members: DataFrame, b: Banding) -> DataFrame:
 
     ``members``: key, table, rep, n, core, sig, comp and main (the component of the key's star). Only pairs
     with an end outside ``main`` are left to compare. A pair goes on if its set sizes and cores allow the
-    similarity and half of the minhashes agree (at similarity 0.85 fewer do with probability 1e-5), and it does
-    so once: in the table of the first two collections that agree.
+    similarity and ``Banding.least`` of the minhashes agree, and it does so once: in the table of the first two collections that agree.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"),
                                        F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK).cast("int").alias("lefts"))
@@ -173,7 +184,7 @@ def _outside(members: DataFrame, b: Banding) -> DataFrame:
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))))
     right = right.toDF(*[f"r_{c}" for c in right.columns])
     kind = members.schema["rep"].dataType.simpleString()
-    lim, least, tables = b.percent, b.collections * b.rows // 2, list(combinations(range(b.collections), 2))
+    lim, least, tables = b.percent, b.least(), list(combinations(range(b.collections), 2))
 
     def pairs(key, lefts: pa.Table, rights: pa.Table) -> pa.Table:
         a, an, ac, ao = (lefts.column(c).to_numpy() for c in ("rep", "n", "comp", "core"))

@@ -5,10 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortia.llm import queries
+from cohortia.llm import neardup, queries
 from tests.llm import helpers as H
 from tests.llm.test_mixing import water
-from tests.llm.test_neardup import brute
+from tests.llm.test_neardup import brute, edited, shingles
 from tests.llm.test_secrets_html import base_spans
 from tests.llm.test_words_quality import plain
 from tests.oracle import compare, connect
@@ -63,6 +63,25 @@ def test_stages_one_by_one(spark, sf_dir):
     assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(r[0] for r in taken.elements())
 
 
+def test_near_dedup_links_from_similarity_80(spark, sf_dir):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        base = H.prose(rng, 400, 10**6)
+        texts += [base, edited(rng, base, rng.choice([6, 7, 8, 9, 10]))]
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up[i] = up[j]
+    between = [j for j in range(0, 60, 2) if 80 <= 100 * len(sets[j] & sets[j + 1]) / len(sets[j] | sets[j + 1]) < 85]
+    assert len(between) > 5 and len(set(up)) > 30
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], H.SCHEMA), sf_dir)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(up))
+    assert corpus_pipeline.NEAR.least() == 12 and neardup.Banding().least() == 10
+
+
 def test_run_and_empty_table(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     spark.createDataFrame([], H.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
