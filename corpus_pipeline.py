@@ -1,7 +1,7 @@
 """A training corpus in five stages: quality rules, near duplicates, secrets, mix, packing.
 
 Each stage takes the documents that its predecessor kept, written and read again. Rows of one text
-and one id are one document after the second stage; the mix may take a document twice, and packing
+and one id are one document after the second stage, and different texts of one id are judged each by itself; the mix may take a document twice, and packing
 then packs it twice.
 """
 
@@ -24,11 +24,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; a NULL id counts as one made from the row."""
+    """One document of each group of near duplicates.
+
+    A NULL id counts as one made from the row. Where rows of an id hold different texts, the text of smallest
+    digest goes by the id and each other one by a number made from id and text.
+    """
     own = -1 - F.pmod(F.xxhash64(*COLUMNS[1:]), F.lit(2**62))
-    named = docs.select(*COLUMNS, F.coalesce("doc_id", own).alias("__node"))
+    other = F.lit(2**62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**62))
+    digest = F.xxhash64("text")
+    split = cut(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("__first"), F.max(digest).alias("__last"))
+                .filter("__first != __last").select("doc_id", "__first"))
+    node = F.when(F.col("doc_id").isNull(), own).when(digest != F.col("__first"), other).otherwise(F.col("doc_id"))
+    named = docs.select(COLUMNS).join(split, "doc_id", "left").select(*COLUMNS, node.alias("__node"))
     kept = neardup.near_duplicates(named, id_col="__node", banding=NEAR).filter("kept").select(F.col("doc_id").alias("__node")).distinct()
-    return named.join(kept, "__node", "left_semi").dropDuplicates(["__node"]).select(COLUMNS)
+    # rows of one node are equal in id and text
+    one = named.join(kept, "__node", "left_semi").groupBy("__node").agg(F.min(F.struct(COLUMNS)).alias("__row"))
+    return one.select("__row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

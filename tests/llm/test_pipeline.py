@@ -82,6 +82,17 @@ def test_near_dedup_links_from_similarity_80(spark, sf_dir):
     assert corpus_pipeline.NEAR.least() == 12 and neardup.Banding().least() == 10
 
 
+def test_near_dedup_of_an_id_with_several_texts(spark, sf_dir):
+    rng = random.Random(13)
+    for _ in range(3):
+        a, b, c = (H.prose(rng, 120, 10**6) for _ in range(3))
+        rows = [(3, a, "en", "s", 0), (7, a, "en", "s", 0), (7, b, "en", "s", 0), (7, b, "en", "s", 0), (7, edited(rng, b, 1), "en", "s", 0), (8, c, "en", "s", 0), (9, c, "en", "s", 0)]
+        got = rows_of(corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, H.SCHEMA), sf_dir))
+        near_b = {rows[2], rows[4]}
+        assert {r for r in got if r[0] != 7} == {rows[0], rows[5]} and max(got.values()) == 1
+        assert len(got) == 3 and set(got) & near_b
+
+
 def test_run_and_empty_table(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     spark.createDataFrame([], H.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
