@@ -3,7 +3,8 @@
 Base patterns are reported as they match. The method then decodes candidates and reports only those
 whose contents parse: signed tokens with a JSON header that names an algorithm (``jwt``), PEM blocks of
 private keys (``pem``), and bare base64 or hex strings that hold a private key as nested DER lengths
-or in the OpenSSH form (``key``).
+or in the OpenSSH form, or base64 of a text with such a PEM block (``key``). Line ends of PEM bodies and
+of bare base64 may be written as escapes, and PEM bodies may be string literals put together.
 
 A text is looked at by regular expressions only if a vectorised pass over its bytes finds a run of
 20 or more token characters, or if it has one of the key words; no match can lie outside such texts.
@@ -34,13 +35,21 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "key")
 #: Of them, those of the base.
 BASE = KINDS[:3]
 
-_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "private key")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are matched whole, so this equals filtering longer runs by length
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\"'`.,]+)-----END \1-----""")
+#: In PEM bodies: escaped line ends, quotes between parts of a literal, white space.
+_BETWEEN = re.compile(r"""\\+(?:[nrt]|u000[9aAdD])|["'`][\s+.,\\]*["'`]|[\s"'`,\\]""")
+_ESCAPED = re.compile(r"\\+u00(2[bBfF]|3[dD])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+_WRAP = re.compile(r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*(?=[A-Za-z0-9+/_=-])")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]*")
+_PAD = re.compile(r"={0,2}")
+_PEM_64 = base64.b64encode(b"-----BEGIN ").decode()[:14]
+_LEAST_CHARS = 40
 _HEXKEY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){32,}(?![0-9A-Za-z])")
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
@@ -75,11 +84,15 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def private_der(data: bytes) -> bool:
-    """Whether ``data`` is exactly one DER private key (PKCS#1, PKCS#8 or SEC1) with lengths that nest."""
+    """Whether ``data`` is exactly one DER private key (PKCS#1, PKCS#8, encrypted or not, or SEC1) with lengths that nest."""
     top = _element(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
     parts = _children(data, top[1], top[2])
+    if parts and [p[0] for p in parts] == [0x30, 0x04]:  # a method with parameters (a plain digest has none), contents
+        method = _children(data, parts[0][1], parts[0][2])
+        return (bool(method) and [e[0] for e in method] == [0x06, 0x30] and _children(data, method[1][1], method[1][2]) is not None
+                and parts[1][2] - parts[1][1] >= 8)
     if not parts or len(parts) < 3 and not (len(parts) == 2 and parts[1][0] == 0x04):
         return False
     version = parts[0]
@@ -123,20 +136,101 @@ def _object(segment: str) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
+def _pem(t: str) -> Iterator[re.Match]:
+    """PEM blocks of private keys whose contents parse."""
+    for m in _PEM.finditer(t) if "-----BEGIN" in t else ():
+        body = _ESCAPED.sub(lambda e: chr(int(e[1], 16)), m[2])
+        data = _decoded(_BETWEEN.sub("", body))
+        if data and (private_der(data) or private_ssh(data)):
+            yield m
+
+
+def _stretch(t: str, at: int, most: int | None = None) -> tuple[str, list[tuple[int, int]]]:
+    """base64 characters from ``at`` on over line ends (``most`` at most), and where they stand line by line."""
+    runs, chars = [], 0
+    while most is None or chars < most:
+        end = _RUN.match(t, at).end()
+        if most is not None:
+            end = min(end, at + most - chars)
+        if end == at:
+            break
+        runs.append((at, end))
+        chars += end - at
+        wrap = _WRAP.match(t, end)
+        if wrap is None:
+            break
+        at = wrap.end()
+    return "".join(t[a:z] for a, z in runs), runs
+
+
+def _closed(t: str, end: int) -> int | None:
+    """End of base64 that ends at ``end``, its padding included; None if more characters follow there."""
+    if _RUN.match(t, end).end() > end:
+        return None
+    pad = _PAD.match(t, end).end()
+    wrap = _WRAP.match(t, end) if pad == end else None
+    if wrap and t.startswith("=", wrap.end()):
+        pad = _PAD.match(t, wrap.end()).end()
+    return pad
+
+
+def _bare(t: str, at: int) -> int | None:
+    """End of the base64 at ``at``, on one or several lines, if it holds a private key."""
+    head = _decoded(t[at:at + 20])
+    if not head:
+        return None
+    if head[0] == 0x30:
+        # the outer length tells how many characters belong to it
+        n = head[1] & 0x7F if head[1] > 0x80 else 0
+        if head[1] == 0x80 or n > 4 or head[2 + n] not in (0x02, 0x30):
+            return None
+        size = 2 + n + (int.from_bytes(head[2:2 + n], "big") if n else head[1])
+        most = -(-8 * size // 6)
+        chars, runs = _stretch(t, at, most)
+        data = _decoded(chars) if len(chars) == most >= _LEAST_CHARS else None
+        return _closed(t, runs[-1][1]) if data and private_der(data) else None
+    if head.startswith(_OPENSSH[:15]):
+        chars, runs = _stretch(t, at)
+        # no outer length: lines are as wide as the first, but for the last one
+        wide = runs[0][1] - runs[0][0]
+        last = next((i for i, (a, z) in enumerate(runs) if z - a != wide), len(runs) - 1)
+        last -= last > 0 and runs[last][1] - runs[last][0] > wide
+        for i in (last, last - 1):
+            data = _decoded("".join(t[a:z] for a, z in runs[:i + 1])) if i >= 0 else None
+            if data and private_ssh(data) and sum(z - a for a, z in runs[:i + 1]) >= _LEAST_CHARS:
+                return _closed(t, runs[i][1])
+        return None
+    if t.startswith(_PEM_64, at):
+        chars, runs = _stretch(t, at)
+        chars = chars.replace("-", "+").replace("_", "/")
+        text = base64.b64decode(chars[:len(chars) // 4 * 4]) + (_decoded(chars[len(chars) // 4 * 4:]) or b"")
+        found = [m.end() for m in _pem(text.decode("latin-1"))]
+        if not found:
+            return None
+        left = -(-8 * found[-1] // 6)
+        for a, z in runs:
+            left -= z - a
+            if left <= 0:
+                return _closed(t, z)
+    return None
+
+
 def _confirmed(t: str) -> list[tuple[str, int, int]]:
     out = []
     for m in _JWT.finditer(t):
         head = _object(m[1])
         if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
             out.append(("jwt", m.start(), m.end()))
-    for m in _PEM.finditer(t) if "-----BEGIN" in t else ():
-        data = _decoded(re.sub(r"\s", "", m[2]))
-        if data and (private_der(data) or private_ssh(data)):
-            out.append(("pem", m.start(), m.end()))
+    out += [("pem", m.start(), m.end()) for m in _pem(t)]
+    done = 0
     for m in _BASE64.finditer(t):
-        data = _decoded(m[0])
-        if data and data[0] in (0x30, 0x6F) and (private_der(data) or private_ssh(data)):
-            out.append(("key", m.start(), m.end()))
+        a = m.start()
+        if a and t[a - 1] == "\\" and t[a] in "nrt":
+            a += 1  # the letter of an escape
+        end = _bare(t, a) if a >= done and t[a] in "MbL" else None
+        if end is not None:
+            out.append(("key", a, end))
+            done = end
     for m in _HEXKEY.finditer(t):
         data = bytes.fromhex(m[0])
         if data[0] in (0x30, 0x6F) and (private_der(data) or private_ssh(data)):

@@ -72,6 +72,41 @@ def test_only_what_parses_is_confirmed():
     assert kinds(f"-----BEGIN PRIVATE KEY-----\n{b64(b'nothing of note' * 5)}\n-----END PRIVATE KEY-----") == []
 
 
+def wrapped(x, width=64, end="\n"):
+    return end.join(b64(x)[i:i + width] for i in range(0, len(b64(x)), width))
+
+
+SEALED = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(0x30, der(6, b"\x2a") + der(5, b"")))) + der(4, RSA[:-1]))
+
+
+@pytest.mark.parametrize("end", ["\\n", "\\\\n", "\\r\\n", "\\u000a", "\n", "\\n\" +\n  \"", "\\n' \\\n '"])
+def test_pem_with_written_line_ends(end):
+    for key, name in ((RSA, "RSA PRIVATE KEY"), (PKCS8, "PRIVATE KEY"), (SSH, "OPENSSH PRIVATE KEY"), (SEALED, "ENCRYPTED PRIVATE KEY")):
+        pem = f"-----BEGIN {name}-----{end}{wrapped(key, 64, end)}{end}-----END {name}-----"
+        assert pem in kinds('{"private_key": "' + pem + '\\n", "x": 1}')
+    assert kinds(json.dumps({"k": b64(b"nothing of note" * 9)})) == []
+    slashed = b64(bytes(PKCS8)).replace("/", "\\/").replace("+", "\\u002b")
+    assert kinds(f"-----BEGIN PRIVATE KEY-----\\n{slashed}\\n-----END PRIVATE KEY-----") != []
+
+
+def test_bare_keys_on_several_lines_and_base64_of_pem():
+    for key in (RSA, PKCS8, SEALED, SSH):
+        for width in (40, 64, 76):
+            for end in ("\n", "\r\n", "\n    ", "\\n"):
+                body = wrapped(key, width, end)
+                assert kinds(f"the key:\n{body}\n\nthe end") == [body]
+                assert kinds(f'"key": "\\n{body}\\n"') == [body]
+        assert kinds(f"{wrapped(key)}\n") == [wrapped(key)]
+        pem = f"-----BEGIN CERTIFICATE-----\nMAA=\n-----END CERTIFICATE-----\n-----BEGIN PRIVATE KEY-----\n{wrapped(key)}\n-----END PRIVATE KEY-----\n"
+        for text in (b64(pem.encode()), wrapped(pem.encode(), 76)):
+            assert kinds(f"data: {text} .") == [text]
+    for key in (RSA, PKCS8, SEALED):
+        assert kinds(f"{wrapped(key)}\nwords after it") == [wrapped(key)]
+    assert kinds(b64(SEALED)) == [b64(SEALED)] and kinds(b64(SEALED[:-1] + b"\0\0")) == []
+    digest = der(0x30, der(0x30, der(6, b"\x60\x86") + der(5, b"")) + der(4, b"d" * 64))
+    assert kinds(b64(digest)) == [] and kinds(wrapped(b"-----BEGIN PRIVATE KEY-----\nAAAA\n-----END PRIVATE KEY-----\n" * 3)) == []
+
+
 def test_scan_and_redact(spark, sf_dir):
     rows = H.awkward() + [(1000 + i, t, None, None, 0) for i, t in enumerate(TEXTS)] + [r for r in H.documents(sf_dir) if r[0] > 20]
     found = secrets.scan(H.clashing(H.table(spark, rows)), keep=["doc_id", "text"])
