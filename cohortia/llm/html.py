@@ -189,7 +189,7 @@ def _main(nodes: list[Node]) -> list[Node]:
             if node.tag == "article":
                 break
         node = node.parent
-    if best.parent is None or best.whole:
+    if best.parent is None or best.tag in ("article", "main"):
         return [best]
     least = 0.2 * value(best)
     return [x for x in best.parent.items if isinstance(x, Node) and not x.gone and (
@@ -197,8 +197,8 @@ def _main(nodes: list[Node]) -> list[Node]:
         or x.tag in _BLOCK and x.chars and not x.linked)]
 
 
-def _blocks(root: Node) -> Iterator[str]:
-    """Text of one block after the other, white space in it as single spaces."""
+def _blocks(root: Node, menus: bool) -> Iterator[str]:
+    """Text of one block after the other, white space in it as single spaces; ``menus``: those are left out."""
     held: list[str] = []
     todo: list[Node | str | None] = [root]
     while todo:
@@ -213,7 +213,7 @@ def _blocks(root: Node) -> Iterator[str]:
                 yield text
         if x is None or x.gone:
             continue
-        if x is not root and x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.linked and x.density() > _MENU:
+        if menus and x is not root and x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.linked and x.density() > _MENU:
             continue
         if x.tag in _BLOCK:
             todo.append(None)
@@ -227,14 +227,16 @@ def main_text(page: str) -> str:
     """Blocks of the main text in page order, joined by line feeds."""
     if not page:
         return ""
-    if page.rfind("<!--") > page.rfind("-->"):
-        page = page[:page.rfind("<!--")]  # a comment without an end
     tree = Tree()
     tree.feed(page)
+    # only a comment without an end is left like this: what it holds is no text
+    if tree.rawdata.startswith("<!--"):
+        tree.rawdata = ""
     tree.close()
     nodes = _walk(tree.root)
     _measure(nodes)
-    return "\n".join(b for n in _main(nodes) for b in _blocks(n))
+    # a page without a chosen container may be all menus
+    return "\n".join(b for n in _main(nodes) for b in _blocks(n, n is tree.root))
 
 
 def extract(df: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

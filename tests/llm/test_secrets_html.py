@@ -147,6 +147,15 @@ def test_pages(page):
     assert html.main_text(page) == PAGES[page]
 
 
+def test_nothing_of_the_article_is_dropped():
+    long = "Some text of the article, of a fair length, with commas, and more."
+    assert html.main_text(f"<article><p>{long}</p><ul><li><a href=a>Source one</a><li><a href=b>Source two</a></ul></article>") == f"{long}\nSource one\nSource two"
+    assert html.main_text(f"<section><div class='text'><p>{long}</p></div><div class='text'><p>{long} Again.</p></div></section>") == f"{long}\n{long} Again."
+    for odd in ("<script>var s='<!--'</script>", "<style><!-- a {}</style>", "<p title='<!--'></p>"):
+        assert html.main_text(f"<div>{odd}<p>{long}</p></div>") == long
+    assert html.main_text(f"<div><p>{long}</p></div><!-- never closed <p>x") == long
+
+
 def test_odd_markup_ends():
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert html.main_text("</p></b></div><p>x</i>") == "x"
