@@ -10,7 +10,7 @@ def shingles(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """{id: (n_shingles, component)} for distinct ids."""
     sets = {i: shingles(t) for i, t in rows}
     up = {i: i for i in sets}
@@ -24,7 +24,7 @@ def brute(rows):
     for k, a in enumerate(ids):
         for b in ids[k + 1:]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * min(len(x), len(y)) >= 85 * max(len(x), len(y)) and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
                 p, q = sorted((top(a), top(b)))
                 up[q] = p
     return {i: (len(sets[i]), top(i)) for i in ids}
