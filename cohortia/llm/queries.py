@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import html, mixing, mixlm, neardup, packing, quality, search, secrets, tokenfiles, tokens, toxicity
+from cohortia.llm import align, html, mixing, mixlm, neardup, packing, quality, search, secrets, tokenfiles, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,3 +124,9 @@ def structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
               for kind in secrets.BASE]
     return found.select("doc_id", *counts, F.sha2(secrets.joined(secrets.base_spans()), 256).alias("base_sha256"),
                         secrets.joined("spans").alias("spans"))
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("piece_bpe_32k.model")
+    return align.link_strength(table(spark, sf_dir, "documents"), *paths)
