@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import sys
 import types
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,12 +40,13 @@ from cohortia.llm import words as W
 from cohortia.session import cut
 
 #: Bytes of text aligned at once; a longer text is aligned alone.
-BLOCK_BYTES = 4_000_000
-CACHE_UNITS = 1_000_000
-#: Units that one call of a tokenizer encodes.
-CALL_UNITS = 400
-#: Token ids of both sides in a block of aligned rows, whose distinct pairs are looked up together.
-BLOCK_IDS = 4_000_000
+BLOCK_BYTES = 1_500_000
+CACHE_UNITS = 600_000
+#: Units that are joined to one text of a tokenizer's call, and units of a call.
+JOINED_UNITS = 400
+CALL_UNITS = 20_000
+#: Links of a block of rows whose distinct pairs are looked up together.
+BLOCK_LINKS = 2_000_000
 LISTS = ["ids_a", "ids_b", "cuts_a", "cuts_b"]
 SPACE_MARK = "▁"
 
@@ -134,6 +135,9 @@ class Units(W.Words):
         self.count = np.diff(self.first)
 
 
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 @dataclass
 class Side:
     """Ids of consecutive texts, where each text's ids begin, and the byte after each token."""
@@ -171,7 +175,7 @@ class Pair:
         """(flat ids, ids of each unit, whether its bytes come back)."""
         ids: list[np.ndarray | None] = [None] * len(found)
         runs = np.flatnonzero(solid)
-        runs = [runs[i:i + CALL_UNITS] for i in range(0, len(runs), CALL_UNITS)]
+        runs = [runs[i:i + JOINED_UNITS] for i in range(0, len(runs), JOINED_UNITS)]
         alone = list(np.flatnonzero(~solid))
         for run, got in zip(runs, side.encode(["".join([found[i] for i in run]) for run in runs]) if runs else [], strict=True):
             want = np.cumsum([len(found[i].encode()) for i in run])
@@ -220,7 +224,9 @@ class Pair:
             if len(self.known) + int(new.sum()) > CACHE_UNITS:
                 self._clear()
                 new[:] = True
-            self._learn(units, example[new], distinct[new])
+            which, digests = example[new], distinct[new]
+            for i in range(0, len(which), CALL_UNITS):
+                self._learn(units, which[i:i + CALL_UNITS], digests[i:i + CALL_UNITS])
             at = np.searchsorted(self.known, distinct)
         at = at[back]
         bad = np.zeros(len(units.start) + 1, np.int64)
@@ -282,10 +288,7 @@ def _lists(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Every row's ids by A and B and, for each shared cut, the number of its tokens of A and B before it."""
-    schema = docs.select(*keep).schema
-
+def _aligned(path_a: str, path_b: str, keep: Sequence[str]) -> Mapper:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair.of(path_a, path_b)
         for batch in batches:
@@ -297,10 +300,17 @@ def align(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", kee
                 columns = [c.slice(i, texts.n) for c in batch.columns[:-1]]
                 columns += [_lists(a.ids, a.at), _lists(b.ids, b.at), _lists(cut_a + 1 - base_a, at), _lists(cut_b + 1 - base_b, at)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *LISTS])
+    return run
+
+
+def align(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Every row's ids by A and B and, for each shared cut, the number of its tokens of A and B before it."""
+    out = ", ".join([*_types(docs, keep), *[f"{c} array<int>" for c in LISTS]])
+    return docs.select(*keep, text_col).mapInArrow(_aligned(path_a, path_b, keep), out)
+
 
-    out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in schema],
-                     *[f"{c} array<int>" for c in LISTS]])
-    return docs.select(*keep, text_col).mapInArrow(run, out)
+def _types(docs: DataFrame, keep: Sequence[str]) -> list[str]:
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -344,47 +354,46 @@ def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _DECIMALS[0]
 
 
-def _portions(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about `BLOCK_IDS` token ids (columns ``first`` and the next); a longer row comes alone."""
-    for batch in batches:
-        total = sum(c.offsets.to_numpy().astype(np.int64) for c in batch.columns[first:first + 2])
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(total, total[at] + BLOCK_IDS, "right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
-
-
-def _summaries(keep: Sequence[str]):
-    k = len(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each document with its links as numbers of the block's pairs, and one row for each block with its pairs."""
-        part = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(_portions(batches, k)):
-            (a, at_a), (b, at_b), (cut_a, at), (cut_b, _) = (_values(c) for c in batch.columns[k:])
-            groups = np.diff(at)
-            cut_a, cut_b = cut_a + np.repeat(at_a[:-1], groups), cut_b + np.repeat(at_b[:-1], groups)
-            pairs, link, n = np.unique((a[cut_a - 1].astype(np.int64) << 32) | b[cut_b - 1], return_inverse=True, return_counts=True)
-            some = groups > 0
-            flat, begin = group_texts(a, b, cut_a, cut_b, at[1:][some] - 1)
-            digest = np.full(batch.num_rows, "", object)
-            digest[some] = [hashlib.sha256(flat[s:e - 1]).hexdigest() for s, e in zip(begin, begin[1:], strict=False)]
-            raw, rows = link.astype(np.uint32).tobytes(), batch.num_rows
-            counts = [pa.array(x, pa.int64()) for x in (np.diff(at_a), np.diff(at_b), groups, groups)]
-            links = pa.array([raw[4 * s:4 * e] for s, e in zip(at, at[1:], strict=False)], pa.binary())
-            block, names = pa.array(np.full(rows, part + number)), [*keep, *_COUNTS, "groups_sha256", "block", "links", "pairs", "n"]
-            none = pa.nulls(rows, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *counts, pa.array(digest, pa.string()), block, links, none, none], names=names)
-            if len(pairs):
-                blank = [pa.nulls(1, c.type) for c in (*batch.columns[:k], *counts)]
-                lists = [pa.array([x], pa.list_(pa.int64())) for x in (pairs, n)]
-                yield pa.RecordBatch.from_arrays([*blank, pa.nulls(1, pa.string()), block[:1], pa.nulls(1, pa.binary()), *lists], names=names)
-
-    return run
+_COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-_COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
+def _summaries(batches: Iterator[pa.RecordBatch], keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """One row for each aligned row with its links as numbers of its block's pairs, and one row for each block with its pairs."""
+    k, block = len(keep), TaskContext.get().partitionId() << 32
+    held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]] = []  # columns, links, where each row's links begin
+    n_links = 0
+    for batch in batches:
+        (a, at_a), (b, at_b), (cut_a, at), (cut_b, _) = (_values(c) for c in batch.columns[k:])
+        groups = np.diff(at)
+        cut_a, cut_b = cut_a + np.repeat(at_a[:-1], groups), cut_b + np.repeat(at_b[:-1], groups)
+        some = groups > 0
+        flat, begin = group_texts(a, b, cut_a, cut_b, at[1:][some] - 1)
+        digest = np.full(batch.num_rows, "", object)
+        digest[some] = [hashlib.sha256(flat[s:e - 1]).hexdigest() for s, e in zip(begin, begin[1:], strict=False)]
+        counts = [pa.array(x, pa.int64()) for x in (np.diff(at_a), np.diff(at_b), groups, groups)]
+        held.append(([*batch.columns[:k], *counts, pa.array(digest, pa.string())], (a[cut_a - 1].astype(np.int64) << 32) | b[cut_b - 1], at))
+        n_links += len(cut_a)
+        if n_links >= BLOCK_LINKS:
+            yield from _block(held, keep, block)
+            held, n_links, block = [], 0, block + 1
+    if held:
+        yield from _block(held, keep, block)
+
+
+def _block(held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]], keep: Sequence[str], block: int) -> Iterator[pa.RecordBatch]:
+    names = [*keep, *_COUNTS, "groups_sha256", "block", "links", "pairs", "n"]
+    pairs, link, n = np.unique(np.concatenate([x for _, x, _ in held]), return_inverse=True, return_counts=True)
+    first = 0
+    for columns, links, at in held:
+        raw = link[first:first + len(links)].astype(np.uint32).tobytes()
+        first, rows = first + len(links), len(at) - 1
+        own = pa.array([raw[4 * s:4 * e] for s, e in zip(at, at[1:], strict=False)], pa.binary())
+        none = pa.nulls(rows, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(rows, block)), own, none, none], names=names)
+    if len(pairs):
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (pairs, n)]
+        blank = [pa.nulls(1, c.type) for c in held[0][0]]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array([block]), pa.nulls(1, pa.binary()), *lists], names=names)
 
 
 def link_counts(pairs: DataFrame) -> DataFrame:
@@ -397,10 +406,9 @@ def link_counts(pairs: DataFrame) -> DataFrame:
 
 def link_strength(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Each row's number of tokens, groups and links, a digest of its groups, and how its links stand in the corpus."""
-    aligned = align(docs, path_a, path_b, text_col, keep)
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    aligned, kept = _aligned(path_a, path_b, keep), _types(docs, keep)
     middle = ", ".join([*kept, *[f"{c} long" for c in _COUNTS], "groups_sha256 string", "block long", "links binary", "pairs array<long>", "n array<long>"])
-    told = cut(aligned.mapInArrow(_summaries(keep), middle))
+    told = cut(docs.select(*keep, text_col).mapInArrow(lambda batches: _summaries(aligned(batches), keep), middle))
     own = told.filter("pairs is null").drop("pairs", "n")
     met = told.filter("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "n")).alias("number", "x")).select("block", "number", F.col("x.pairs").alias("pair"), F.col("x.n").alias("n"))
     totals = met.join(link_counts(met), "pair").select(F.col("block").alias("of"), "number", "count", F.col("best").cast("int").alias("best"))
