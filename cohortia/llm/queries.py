@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import align, html, mixing, mixlm, neardup, packing, quality, search, secrets, tokenfiles, tokens, toxicity
+from cohortia.llm import align, html, mixing, mixlm, neardup, packing, quality, search, secrets, tokenfiles, tokens, toxicity, warc
+from cohortia.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,3 +131,17 @@ def structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("piece_bpe_32k.model")
     return align.link_strength(table(spark, sf_dir, "documents"), *paths)
+
+
+@query("op11_warc_source", """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+    f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_bytes, payload_digest) END AS last FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN last <> page_id THEN last END AS refers_to FROM f""")
+def warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write(warc.page_records(table(spark, sf_dir, "pages")), scratch_path(spark, "warc"))
+    columns = ["record_type", "record_id", "refers_to", "payload_digest", "payload_bytes", "payload_sha1"]
+    found = warc.read(spark, folder, columns).filter(F.col("record_type").isin("response", "revisit"))
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", F.coalesce("payload_sha1", "payload_digest").alias("payload_digest"),
+                        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
