@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.llm import align, html, mixing, mixlm, neardup, packing, quality, search, secrets, tokenfiles, tokens, toxicity, warc
+from cohortia.llm import align, html, mixing, mixlm, neardup, packing, phrases, quality, search, secrets, tokenfiles, tokens, toxicity, warc
 from cohortia.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,29 @@ def warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read(spark, folder, columns).filter(F.col("record_type").isin("response", "revisit"))
     return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", F.coalesce("payload_sha1", "payload_digest").alias("payload_digest"),
                         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+@query("op12_dynamic_phrases", """
+    WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS w FROM (
+        SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS x FROM d)),
+    g AS (SELECT lang, 1 AS m, unnest(w) AS phrase FROM p
+          UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM p)
+          UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM p)),
+    f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL),
+    tot AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND n >= 10),
+    k AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp
+          FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c),
+    s AS (SELECT k.*, x.n AS l, y.n AS r, (1000000::HUGEINT * a * a // (x.n::HUGEINT * y.n))::BIGINT AS score
+          FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.lp AND x.m = k.k JOIN f y ON y.lang = k.lang AND y.phrase = k.rp AND y.m = k.m - k.k),
+    best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    up AS (SELECT lang, q AS phrase, max(a) AS a FROM (
+        SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS q, a FROM c WHERE m = 3) GROUP BY ALL),
+    v AS (SELECT best.* FROM best LEFT JOIN up ON up.lang = best.lang AND up.phrase = best.phrase AND best.m = 2
+          WHERE up.a IS NULL OR 100 * up.a < 50 * best.a),
+    r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM v)
+    SELECT r.lang, rank, phrase, a, l, r, tot.n, score FROM r JOIN tot ON tot.lang = r.lang WHERE rank <= 2000""")
+def dynamic_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
