@@ -1,63 +1,205 @@
-"""Exact nearest neighbours between samples, in blocks.
+"""Exact nearest neighbours between samples by metric pivots.
 
-Queries and candidates are dealt into blocks by hash and every pair of blocks is one task
-group of bounded size. A task keeps only its own k best per query, so pairs are never
-written out, and the final choice looks at k rows per block.
+About sqrt(n) vectors serve as pivots. Every vector belongs to the cell of its nearest pivot, and cells are dealt to
+blocks along the distance from their pivot, so a block lies in a shell of known radii. A vector's k-th best
+in its own block (and in the nearest cells by their radii) bounds how far its neighbours can be; by the triangle
+inequality that rules out most cells, and of the others most shells. A vector is shipped only to the
+blocks that are left, which keep their own k best for it, so pairs are never written out.
+
+What is broadcast are the pivots with three numbers for each cell: at most `PIVOT_BYTES`, whatever the data.
+Many equal vectors are no special case: they fill several blocks, and a block's visitors are dealt to groups of
+`VISITORS`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.cohort import DEFAULT, Cohort
 from cohortia.operators.reshape import vectors
+from cohortia.session import cut
+
+PIVOT_BYTES = 16 << 20
+VISITORS = 4096
+#: Share of a distance's scale that rounding may cost a bound.
+SLACK = 1e-6
+#: Pairs of vectors whose differences are held at once.
+PAIRS = 1 << 15
+#: Blocks of `nearest_observed`; their shells (35 numbers each) meet on the driver.
+MAX_BLOCKS = 2048
+REFERENCES = 16
 
 
 def blocks_for(n: int, block: int) -> int:
     return max(1, -(-n // block))
 
 
-def _dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-    """Rows tagged with their own block, copied once per block of the other side."""
-    mine = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")
-    return df.withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A list column of equal lengths as a matrix; NULL entries are NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances by way of products; close distances bear rounding, see `SLACK`."""
+    square = (a ** 2).sum(axis=1)[:, None] + (b ** 2).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _best(a: np.ndarray, ids: np.ndarray, b: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``, exact distance) of each row's k nearest others, ties by id."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    scale = math.sqrt((a ** 2).sum(axis=1).max() + (b ** 2).sum(axis=1).max())
+    step = max(1, PAIRS // max(len(b), 1))
+    for i in range(0, len(a), step):
+        near = _between(a[i:i + step], b)
+        near[ids[i:i + step, None] == others[None, :]] = np.inf
+        limit = np.partition(near, k - 1, axis=1)[:, k - 1] if len(b) > k else np.full(len(near), np.inf)
+        row, col = np.nonzero((near <= limit[:, None] + SLACK * scale) & np.isfinite(near))
+        exact = np.sqrt(((b[col] - a[i + row]) ** 2).sum(axis=1))
+        order = np.lexsort((others[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        out.append((i + row[keep], col[keep], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Consecutive rows of one cell, at most ``size`` of them (columns end with cell)."""
+    held: list[pa.RecordBatch] = []
+
+    def run_out() -> Iterator[pa.Table]:
+        whole = pa.Table.from_batches(held)
+        for i in range(0, len(whole), size):
+            yield whole.slice(i, size)
+
+    for batch in batches:
+        cells = batch.column("cell").to_numpy()
+        edges = np.flatnonzero(np.diff(cells)) + 1
+        for i, j in zip([0, *edges], [*edges, len(cells)], strict=True):
+            if held and held[0].column("cell")[0].as_py() != int(cells[i]):
+                yield from run_out()
+                held = []
+            held.append(batch.slice(i, j - i))
+            while sum(len(x) for x in held) >= 2 * size:
+                whole = pa.Table.from_batches(held)
+                yield whole.slice(0, size)
+                held = whole.slice(size).to_batches()
+    if held:
+        yield from run_out()
+
 
+def _pivots(points: DataFrame, n: int) -> np.ndarray:
+    width = points.select(F.max(F.size("v"))).first()[0] or 1
+    few = min(max(1, math.isqrt(n)), max(1, PIVOT_BYTES // (8 * width + 24)))
+    drawn = points.orderBy(F.xxhash64("id"), "id").limit(few).select("v").toArrow()
+    return _rows(drawn["v"])
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=float) for v in col])
+
+def placed(points: DataFrame, pivots: np.ndarray, k: int, block: int) -> DataFrame:
+    """(id, v, cell, away, part, reach): nearest pivot and distance from it, block, and k-th best distance inside the block."""
+    held = points.sparkSession.sparkContext.broadcast(pivots)
+    kind = points.schema["id"].dataType.simpleString()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _rows(batch.column("v"))
+            far = np.concatenate([_between(v[i:i + 2048], held.value) for i in range(0, len(v), 2048)]) if len(v) else np.zeros((0, 1))
+            cell = far.argmin(axis=1)
+            away = np.sqrt(((v - held.value[cell]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away), pa.array(cell.astype(np.int32))], names=["id", "v", "away", "cell"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        for table in _blocks(batches, block):
+            v, ids = _rows(table["v"]), np.arange(len(table))
+            row, _, d = _best(v, ids, v, ids, k)
+            reach = np.full(len(table), np.inf)
+            full = np.flatnonzero(np.bincount(row, minlength=len(table)) >= k)
+            reach[full] = d[np.searchsorted(row, full, "right") - 1]
+            yield from table.append_column("part", pa.array(np.full(len(table), part))).append_column("reach", pa.array(reach)).combine_chunks().to_batches()
+            part += 1
+
+    by = ["cell", "away", "id"]
+    dealt = points.mapInArrow(assign, f"id {kind}, v array<double>, away double, cell int").repartitionByRange(*by).sortWithinPartitions(*by)
+    return cut(dealt.mapInArrow(deal, f"id {kind}, v array<double>, away double, cell int, part long, reach double"))
+
+
+def visits(points: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """(id, part): the blocks in which a placed vector may have one of its k nearest."""
+    cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("near"), F.max("away").alias("far")).toArrow()
+    at = cells["cell"].to_numpy()
+    held = points.sparkSession.sparkContext.broadcast((pivots[at], at, *(cells[c].to_numpy() for c in ("n", "near", "far"))))
+    kind = points.schema["id"].dataType.simpleString()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, name, size, near, far = held.value
+        for batch in batches:
+            v = _rows(batch.column("v"))
+            own, away, reach = (batch.column(c).to_numpy() for c in ("cell", "away", "reach"))
+            for i in range(0, len(v), 1024):
+                part = slice(i, i + 1024)
+                d = _between(v[part], centre)
+                slack = SLACK * (np.sqrt((v[part] ** 2).sum(axis=1)) + np.sqrt((centre ** 2).sum(axis=1)).max())
+                # the cells within this radius hold k others for sure
+                outer = d + far
+                order = outer.argsort(axis=1)
+                held_by = np.cumsum(size[order], axis=1)
+                enough = (held_by > k).argmax(axis=1)
+                rows = np.arange(len(d))
+                bound = np.where(held_by[:, -1] > k, outer[rows, order[rows, enough]], np.inf)
+                limit = np.minimum(reach[part], bound) + slack
+                # rings of the cell, and the plane between its pivot and the own one
+                least = np.maximum(np.maximum(d - far, near - d), np.where(name[None, :] == own[part, None], 0, (d - away[part, None]) / 2))
+                row, col = np.nonzero(least <= limit[:, None])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(i + row)), pa.array(name[col]), pa.array((d[row, col] - limit[row])), pa.array(d[row, col] + limit[row])],
+                                                 names=["id", "cell", "low", "high"])
+
+    rings = points.groupBy("part", "cell").agg(F.min("away").alias("near"), F.max("away").alias("far"))
+    found = points.mapInArrow(look, f"id {kind}, cell int, low double, high double")
+    return found.join(rings, "cell").filter((F.col("near") <= F.col("high")) & (F.col("far") >= F.col("low"))).select("id", "part")
 
 
 def nearest(points: DataFrame, key: str, vector: str, k: int, block: int = 512) -> DataFrame:
-    """(key, neighbour, distance, rank) of the k nearest other points by Euclidean distance."""
-    n = blocks_for(points.count(), block)
-    slim = points.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    left = _dealt(slim, "id", "qb", n, "cb", n)
-    right = _dealt(slim.select(F.col("id").alias("oid"), F.col("v").alias("ov")), "oid", "cb", n, "qb", n)
-
-    def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        a, b = _matrix(q["v"]), _matrix(c["ov"])
-        ids, others = q["id"].to_numpy(), c["oid"].to_numpy()
-        own, near, far = [], [], []
-        for i in range(len(a)):
-            d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
-            d[others == ids[i]] = np.inf
-            best = np.lexsort((others, d))[:k]
-            best = best[np.isfinite(d[best])]
-            own.append(np.repeat(ids[i], len(best)))
-            near.append(others[best])
-            far.append(d[best])
-        return pd.DataFrame({"id": np.concatenate(own), "neighbour": np.concatenate(near), "distance": np.concatenate(far)})
+    """(key, neighbour, distance, rank) of the k nearest other points by Euclidean distance.
 
+    Points without a vector, or with missing or infinite entries in it, have no neighbours and are none.
+    """
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    slim = cut(points.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & sound))
+    n = slim.count()
     kind = slim.schema["id"].dataType.simpleString()
-    found = (left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
-             .applyInPandas(cell, f"id {kind}, neighbour {kind}, distance double"))
+    if not n:
+        return slim.select(F.col("id").alias(key), F.col("id").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+    pivots = _pivots(slim, n)
+    rows = placed(slim, pivots, k, block)
+    where = cut(visits(rows, pivots, k))
+    groups = where.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("groups"))
+    queries = (where.join(groups, "part").withColumn("own", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
+               .join(rows.select("id", "v"), "id").select("id", "v", "part", "own"))
+    blocks = (rows.select(F.col("id").alias("oid"), F.col("v").alias("ov"), "part").join(groups, "part")
+              .select("oid", "ov", F.col("part").alias("of"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")))
+
+    def search(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return pa.table({"id": q["id"].slice(0, 0), "neighbour": c["oid"].slice(0, 0), "distance": pa.array([], pa.float64())})
+        ids, others = q["id"].to_numpy(), c["oid"].to_numpy()
+        row, col, d = _best(_rows(q["v"]), ids, _rows(c["ov"]), others, k)
+        return pa.table({"id": q["id"].take(pa.array(row)), "neighbour": c["oid"].take(pa.array(col)), "distance": pa.array(d)})
+
+    found = (queries.groupBy("part", "own").cogroup(blocks.groupBy("of", "group"))
+             .applyInArrow(search, f"id {kind}, neighbour {kind}, distance double"))
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumnRenamed("id", key))
@@ -89,48 +231,141 @@ def neighbour_graph(edges: DataFrame, key: str, k: int) -> DataFrame:
             .select(key, "z.e.neighbour", "z.e.distance", F.col("z.w").alias("weight")))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean absolute difference over the entries both rows hold; infinite where they share none."""
+    held_a, held_b = (~np.isnan(x) for x in (a, b))
+    zero_a, zero_b = np.nan_to_num(a), np.nan_to_num(b)
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        total += np.abs(zero_a[:, j, None] - zero_b[None, :, j]) * (held_a[:, j, None] & held_b[None, :, j])
+    shared = held_a.astype(float) @ held_b.T.astype(float)
+    return np.where(shared > 0, total / np.maximum(shared, 1), np.inf)
+
+
+def _best_holding(a: np.ndarray, ids: np.ndarray, b: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row of ``a``, entry, row of ``b``, distance): for every missing entry the k nearest others that hold it, ties by id."""
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    step = max(1, 4 * PAIRS // max(len(b), 1))
+    held = ~np.isnan(b)
+    for i in range(0, len(a), step):
+        part = a[i:i + step]
+        d = _apart(part, b)
+        d[ids[i:i + step, None] == others[None, :]] = np.inf
+        order = np.lexsort((np.broadcast_to(others, d.shape), d), axis=1)
+        sorted_d = np.take_along_axis(d, order, axis=1)
+        row, pos = np.nonzero(np.isnan(part))
+        for s in range(0, len(row), step):
+            r, j = row[s:s + step], pos[s:s + step]
+            fits = held[order[r], j[:, None]] & np.isfinite(sorted_d[r])
+            fits &= np.cumsum(fits, axis=1) <= k
+            gap, place = np.nonzero(fits)
+            out.append((i + r[gap], j[gap], order[r[gap], place], sorted_d[r[gap], place]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _between_blocks(rings: pd.DataFrame) -> np.ndarray:
+    """Least distance that rows of two blocks can have, by the entries both hold.
+
+    Rows x, y differ over what both hold by at least D(x) - missing(y) - D(y), D being the summed difference from a
+    reference over what the row holds: no entry's difference exceeds one. That sum is over at most as many entries as either holds.
+    """
+    low, high = (np.array([list(v) for v in rings[c]]) for c in ("low", "high"))
+    gaps, held = rings["gaps"].to_numpy(float), rings["held"].to_numpy(float)
+    gap = np.zeros((len(rings), len(rings)))
+    for r in range(low.shape[1]):
+        np.maximum(gap, low[:, r, None] - high[None, :, r] - gaps[None, :], out=gap)
+        np.maximum(gap, low[None, :, r] - high[:, r, None] - gaps[:, None], out=gap)
+    return gap / np.maximum(np.minimum(held[:, None], held[None, :]), 1)
+
+
+def observed_blocks(packed: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, s, x, part) in blocks of alike rows, and the pairs of blocks (part, of) in which gaps may find their k nearest.
+
+    ``s`` is scaled to the range 0 to 1 of each assay, ``x`` the values; both have NULL where nothing was measured.
+    """
+    drawn = _rows(packed.orderBy(F.xxhash64("id"), "id").limit(REFERENCES).select("s").toArrow()["s"])
+    held = packed.sparkSession.sparkContext.broadcast(np.where(np.isnan(drawn), 0.5, drawn))
+    kind = packed.schema["id"].dataType.simpleString()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = _rows(batch.column("s"))
+            far = np.stack([np.nansum(np.abs(s - p), axis=1) for p in held.value], axis=1)
+            cell = far.argmin(axis=1)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(far.ravel()), far.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(far[np.arange(len(s)), cell]), pa.array(cell.astype(np.int32))],
+                                             names=["id", "s", "x", "far", "away", "cell"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        for table in _blocks(batches, block):
+            s, ids = _rows(table["s"]), np.arange(len(table))
+            missing = np.isnan(s).sum(axis=1)
+            few = np.flatnonzero(missing > 0)
+            row, pos, _, d = _best_holding(s[few], ids[few], s, ids, k)
+            reach = np.where(missing > 0, np.inf, -1.0)
+            if len(row):
+                gap = pd.DataFrame({"row": row, "pos": pos, "d": d}).groupby(["row", "pos"])["d"].agg(["size", "max"]).reset_index()
+                gap.loc[gap["size"] < k, "max"] = np.inf
+                worst = gap.groupby("row").agg(n=("pos", "size"), d=("max", "max"))
+                worst = worst[worst["n"] == missing[few][worst.index]]
+                reach[few[worst.index]] = worst["d"]
+            columns = {"missing": pa.array(missing.astype(np.int32)), "part": pa.array(np.full(len(table), part)), "reach": pa.array(reach)}
+            for name, column in columns.items():
+                table = table.append_column(name, column)
+            yield from table.combine_chunks().to_batches()
+            part += 1
+
+    by = ["cell", "away", "id"]
+    kinds = f"id {kind}, s array<double>, x array<double>, far array<double>, away double, cell int"
+    dealt = packed.select("id", "s", "x").mapInArrow(assign, kinds).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = cut(dealt.mapInArrow(deal, f"{kinds}, missing int, part long, reach double"))
+    size = len(held.value)
+    ends = lambda fn, name: F.array(*[fn(F.col("far")[r]) for r in range(size)]).alias(name)
+    rings = rows.groupBy("part").agg(ends(F.min, "low"), ends(F.max, "high"), F.max("missing").alias("gaps"),
+                                     F.max(F.size("s") - F.col("missing")).alias("held"), F.max("reach").alias("reach")).toPandas()
+    least = _between_blocks(rings)
+    mine, other = np.nonzero(least <= rings["reach"].to_numpy()[:, None] + SLACK)
+    parts = rings["part"].to_numpy()
+    pairs = packed.sparkSession.createDataFrame(pd.DataFrame({"part": parts[mine], "of": parts[other]}), "part long, of long")
+    return rows, pairs
+
+
 def nearest_observed(long: DataFrame, k: int, block: int = 512, cohort: Cohort = DEFAULT) -> DataFrame:
-    """For every missing (sample, assay), the k nearest samples holding it, with their values."""
+    """For every missing (sample, assay), the k nearest samples holding it, with their values.
+
+    Rows with gaps are shipped to those blocks that the bound of `_between_blocks` leaves; where it rules out nothing
+    that is every block, so blocks grow with the table (at most `MAX_BLOCKS` of them) and copies stay few.
+    """
     c = cohort
-    ranges = long.groupBy(c.assay).agg((F.max(c.value) - F.min(c.value)).alias("__range"))
+    ranges = long.groupBy(c.assay).agg(F.min(c.value).alias("__min"), (F.max(c.value) - F.min(c.value)).alias("__range"))
     scaled = (long.join(ranges, c.assay)
-              .withColumn("__s", F.when(F.col("__range") > 0, F.col(c.value) / F.col("__range"))
+              .withColumn("__s", F.when(F.col("__range") > 0, (F.col(c.value) - F.col("__min")) / F.col("__range"))
                           .otherwise(F.when(F.col(c.value).isNotNull(), 0.0)))
               .select(c.sample, c.assay, F.struct(F.col("__s").alias("s"), F.col(c.value).alias("x")).alias("__p")))
-    packed = (vectors(scaled, c.sample, c.assay, "__p")
-              .select(F.col(c.sample).alias("id"), F.col("vector.s").alias("s"), F.col("vector.x").alias("x")))
-    gaps = packed.filter(F.exists("x", lambda v: v.isNull()))
-    counted = packed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.exists("x", lambda v: v.isNull())).alias("g")).first()
-    nq, nc = blocks_for(counted["g"], block), blocks_for(counted["n"], block)
-    left = _dealt(gaps.select("id", "s"), "id", "qb", nq, "cb", nc)
-    right = _dealt(packed.select(F.col("id").alias("oid"), F.col("s").alias("os"), F.col("x").alias("ox")), "oid", "cb", nc, "qb", nq)
-
-    def cell(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "pos": [], "neighbour": [], "distance": [], "neighbour_value": []})
-        if q.empty or p.empty:
-            return empty
-        a, b, x = _matrix(q["s"]), _matrix(p["os"]), _matrix(p["ox"])
-        ids, others, held, out = q["id"].to_numpy(), p["oid"].to_numpy(), ~np.isnan(x), {n: [] for n in empty}
-        for i in range(len(a)):
-            diff = np.abs(b - a[i])
-            both = ~np.isnan(diff)
-            shared = both.sum(axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                d = np.where(both, diff, 0).sum(axis=1) / shared
-            d[(others == ids[i]) | (shared == 0)] = np.inf
-            order = np.lexsort((others, d))
-            order = order[np.isfinite(d[order])]
-            for j in np.flatnonzero(np.isnan(a[i])):
-                best = order[held[order, j]][:k]
-                for name, part in zip(out, (np.repeat(ids[i], len(best)), np.repeat(j, len(best)), others[best], d[best], x[best, j])):
-                    out[name].append(part)
-        return pd.DataFrame({n: np.concatenate(v) for n, v in out.items()}) if out["id"] else empty
-
+    packed = cut(vectors(scaled, c.sample, c.assay, "__p")
+                 .select(F.col(c.sample).alias("id"), F.col("vector.s").alias("s"), F.col("vector.x").cast("array<double>").alias("x")))
     kind = packed.schema["id"].dataType.simpleString()
-    found = (left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
-             .applyInPandas(cell, f"id {kind}, pos int, neighbour {kind}, distance double, neighbour_value double"))
+    n = packed.count()
+    rows, pairs = observed_blocks(packed, k, max(block, blocks_for(n, MAX_BLOCKS)))
+    gaps = rows.filter("missing > 0").select("id", "s", "part").join(pairs, "part")
+    asked = pairs.withColumnsRenamed({"part": "from", "of": "part"})
+    blocks = rows.select(F.col("id").alias("oid"), F.col("s").alias("os"), F.col("x").alias("ox"), "part").join(asked, "part").withColumnRenamed("part", "to")
+
+    def search(q: pa.Table, p: pa.Table) -> pa.Table:
+        if not len(q) or not len(p):
+            row = pos = col = np.zeros(0, int)
+            d = value = np.zeros(0)
+        else:
+            row, pos, col, d = _best_holding(_rows(q["s"]), q["id"].to_numpy(), _rows(p["os"]), p["oid"].to_numpy(), k)
+            value = _rows(p["ox"])[col, pos]
+        return pa.table({"id": q["id"].take(pa.array(row)), "pos": pa.array(pos.astype(np.int32)), "neighbour": p["oid"].take(pa.array(col)),
+                         "distance": pa.array(d), "neighbour_value": pa.array(value)})
+
+    found = (gaps.groupBy("part", "of").cogroup(blocks.groupBy("from", "to"))
+             .applyInArrow(search, f"id {kind}, pos int, neighbour {kind}, distance double, neighbour_value double"))
     w = Window.partitionBy("id", "pos").orderBy("distance", "neighbour")
     best = found.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k)
-    names = (long.select(c.assay).distinct()
+    names = (long.select(c.assay).distinct().filter(F.col(c.assay).isNotNull())
              .withColumn("pos", (F.row_number().over(Window.orderBy(c.assay)) - 1).cast("int")))
     return best.join(names, "pos").select(F.col("id").alias(c.sample), c.assay, "neighbour", "distance", "neighbour_value")
