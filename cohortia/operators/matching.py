@@ -2,12 +2,17 @@
 
 Samples of a disease with equal age and sex form one cell, so everything iterative runs on
 cells. Matching needs no candidate pairs: scores lie on a line, so the nearest free
-opposite of a cell is the one before or after it.
+opposite of a cell is next to it, and stretches of the line are matched side by side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.cohort import DEFAULT, Cohort
@@ -16,6 +21,8 @@ from cohortia.operators.ordered import running
 from cohortia.session import cut, join_on
 
 PAIR = ["case_disease", "control_disease"]
+#: Digits of a score that count in matching.
+DIGITS = 9
 
 
 def cells(meta: DataFrame, cohort: Cohort = DEFAULT) -> DataFrame:
@@ -82,63 +89,144 @@ def propensity(levels: DataFrame, steps: int = 25, tolerance: float = 1e-10) ->
         *PAIR, "age", "sex", "cases", "controls", "score")
 
 
-def match_cells(scored: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Closest-first one-to-one matching of counts on the score line.
+class Line:
+    """Free cells of one stretch of the score line, matched closest first as far as that is certain.
+
+    Free cells are a linked list; a heap holds neighbouring cells of opposite kind by (distance, place). Beyond either end of
+    the stretch (``before``, ``after``: the score where it goes on, None where it does not) anything may lie. When that, or an
+    opposite cell whose fate is open already, is no further from the outermost certain cell than the closest pair left, the
+    cell's fate is open as well, and so on inwards. Every match made is one of the whole line's.
+    """
 
-    In a round every cell points at its nearest opposite (the earlier one on a tie); pairs
-    that point at each other are matched up to the smaller count. The closest pair left
-    always is such a pair, so each round makes progress and the result is that of taking
-    pairs closest first. Ends when a pair of diseases has no case or no control left.
+    def __init__(self, score: np.ndarray, case: np.ndarray, control: np.ndarray, before: int | None = None, after: int | None = None):
+        self.score, self.case = score.tolist(), (case > 0).tolist()
+        self.left = np.where(case > 0, case, control).tolist()
+        n = len(self.score)
+        self.back, self.next = list(range(-1, n - 1)), list(range(1, n + 1))
+        # nearest that a certain cell of either kind (case: True) might meet on each side outside
+        self.low = {True: before, False: before}
+        self.high = {True: after, False: after}
+        self.first, self.last = 0, n - 1  # outermost certain cells
+        self.heap: list[tuple[int, int, int]] = []
+        for i in range(n - 1):
+            self._pair(i, i + 1)
+
+    def _pair(self, i: int, j: int) -> None:
+        if self.case[i] != self.case[j]:
+            heapq.heappush(self.heap, (self.score[j] - self.score[i], i, j))
+
+    def _open(self, limit: float) -> bool:
+        """Give up one outermost cell that may be matched outside within ``limit``."""
+        if self.first > self.last:
+            return False
+        i, j = self.first, self.last
+        if self.low[self.case[i]] is not None and self.score[i] - self.low[self.case[i]] <= limit:
+            self.low[not self.case[i]] = self.score[i]
+            self.first = self.next[i]
+            return True
+        if self.high[self.case[j]] is not None and self.high[self.case[j]] - self.score[j] <= limit:
+            self.high[not self.case[j]] = self.score[j]
+            self.last = self.back[j]
+            return True
+        return False
+
+    def _leave(self, i: int) -> None:
+        b, a = self.back[i], self.next[i]
+        if b >= 0:
+            self.next[b] = a
+        if a < len(self.score):
+            self.back[a] = b
+        if i == self.first:
+            self.first = a
+        if i == self.last:
+            self.last = b
+
+    def matches(self) -> Iterator[tuple[int, int, int]]:
+        """(case cell, control cell, how many)."""
+        while self.heap:
+            d, i, j = self.heap[0]
+            if not self.left[i] or not self.left[j] or self.next[i] != j or i < self.first or j > self.last:
+                heapq.heappop(self.heap)
+                continue
+            if self._open(d):
+                continue
+            heapq.heappop(self.heap)
+            k = min(self.left[i], self.left[j])
+            self.left[i] -= k
+            self.left[j] -= k
+            yield (i, j, k) if self.case[i] else (j, i, k)
+            b, a = self.back[i], self.next[j]
+            ends = [x for x in (i, j) if not self.left[x]]
+            for x in ends:
+                self._leave(x)
+            inner = [x for x in (i, j) if self.left[x]]
+            chain = [x for x in (b, *inner, a) if self.first <= x <= self.last]
+            for x, y in zip(chain, chain[1:], strict=False):
+                self._pair(x, y)
+
+
+def match_cells(scored: DataFrame, stretch: int = 20_000) -> DataFrame:
+    """Closest-first one-to-one matching of counts on the score line; ties go to the lower score.
+
+    Scores are rounded to `DIGITS` digits, so equal distances are equal whatever the order of sums. Stretches of about
+    ``stretch`` cells are matched by themselves as far as what lies beyond their ends cannot matter (`Line`); what is left
+    open is dealt to longer stretches, until a pair of diseases has no case or no control left. So the number of passes
+    grows with the logarithm of a pair's cells (its distinct ages and sexes), and one pass does where they fit a stretch.
     """
-    placed = running(scored, PAIR, "score", {"pos": ("row_number", None)}, tie_break=["age", "sex"])
-    state = cut(placed.select(*PAIR, "age", "sex", "score", "pos", F.col("cases").alias("case_left"),
-                              F.col("controls").alias("control_left"), F.lit(0).cast("long").alias("case_used"),
-                              F.lit(0).cast("long").alias("control_used")))
-    same = F.least("case_left", "control_left")
-    done = [state.filter(same > 0).select(
+    unit = 10 ** DIGITS
+    whole = scored.withColumn("at", F.round(F.col("score") * unit).cast("long"))
+    same = F.least("cases", "controls")
+    done = [whole.filter(same > 0).select(
         *PAIR, F.col("age").alias("case_age"), F.col("sex").alias("case_sex"), F.col("age").alias("control_age"),
         F.col("sex").alias("control_sex"), same.alias("k"), F.lit(0).cast("long").alias("case_from"),
         F.lit(0).cast("long").alias("control_from"), F.lit(0.0).alias("distance"))]
-    state = state.withColumns({"case_left": F.col("case_left") - same, "control_left": F.col("control_left") - same,
-                               "case_used": F.col("case_used") + same, "control_used": F.col("control_used") + same})
-    # a pair's cells are its distinct (age, sex), so a window holds no more than these
-    ahead = Window.partitionBy(*PAIR).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    behind = Window.partitionBy(*PAIR).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(max_rounds):
-        live = (state.filter("case_left > 0 OR control_left > 0")
-                .withColumn("case_at", F.when(F.col("case_left") > 0, F.struct("pos", "score")))
-                .withColumn("control_at", F.when(F.col("control_left") > 0, F.struct("pos", "score"))))
-        both = live.withColumns({f"{word}_{side}": F.last(f"{side}_at", ignorenulls=True).over(w)
-                                 for side in ("case", "control") for word, w in (("before", ahead), ("after", behind))})
-        other = lambda side: F.when(F.col("case_left") > 0, F.col(f"{side}_control")).otherwise(F.col(f"{side}_case"))
-        both = both.withColumn("b", other("before")).withColumn("a", other("after"))
-        gap_b, gap_a = F.col("score") - F.col("b.score"), F.col("a.score") - F.col("score")
-        near = F.when(F.col("a.pos").isNull() | (gap_b <= gap_a), F.col("b.pos")).otherwise(F.col("a.pos"))
-        aimed = both.withColumn("aim", near).filter("aim IS NOT NULL")
-        cols = ["age", "sex", "score", "pos", "aim"]
-        case = aimed.filter("case_left > 0").select(*PAIR, *[F.col(x).alias(f"case_{x}") for x in cols], "case_left", "case_used")
-        ctrl = aimed.filter("control_left > 0").select(*PAIR, *[F.col(x).alias(f"control_{x}") for x in cols], "control_left", "control_used")
-        met = cut(case.withColumn("control_pos", F.col("case_aim")).withColumn("control_aim", F.col("case_pos"))
-                  .join(ctrl, [*PAIR, "control_pos", "control_aim"])
-                  .withColumn("k", F.least("case_left", "control_left")))
-        if met.isEmpty():
+    state = cut(whole.select(*PAIR, "age", "sex", "at", (F.col("cases") - same).alias("case_left"), (F.col("controls") - same).alias("control_left"),
+                             same.alias("case_used"), same.alias("control_used")))
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema}
+    made = ["case_age", "case_sex", "control_age", "control_sex", "k", "case_from", "control_from", "distance"]
+    out = (", ".join(f"{c} {kinds[c]}" for c in (*PAIR, "age", "sex", "at", "case_left", "control_left", "case_used", "control_used"))
+           + f", case_age {kinds['age']}, case_sex {kinds['sex']}, control_age {kinds['age']}, control_sex {kinds['sex']}, k long, case_from long, control_from long, distance double")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos", ignore_index=True)
+        edge = lambda name: None if pd.isna(rows[name].iloc[0]) else int(rows[name].iloc[0])
+        line = Line(rows["at"].to_numpy(), rows["case_left"].to_numpy(), rows["control_left"].to_numpy(), edge("before"), edge("after"))
+        used = {c: rows[f"{c}_used"].to_numpy().copy() for c in ("case", "control")}
+        found = []
+        for i, j, k in line.matches():
+            found.append((i, j, k, used["case"][i], used["control"][j]))
+            used["case"][i] += k
+            used["control"][j] += k
+        left = rows.assign(case_left=rows["case_left"] - used["case"] + rows["case_used"], control_left=rows["control_left"] - used["control"] + rows["control_used"],
+                           case_used=used["case"], control_used=used["control"])
+        left = left[(left["case_left"] > 0) | (left["control_left"] > 0)][[*PAIR, "age", "sex", "at", "case_left", "control_left", "case_used", "control_used"]]
+        i, j, k, a, b = (np.array(x, int) for x in (zip(*found, strict=True) if found else [()] * 5))
+        at = rows["at"].to_numpy()
+        met = pd.DataFrame({PAIR[0]: rows[PAIR[0]].iloc[0], PAIR[1]: rows[PAIR[1]].iloc[0],
+                            "case_age": rows["age"].to_numpy()[i], "case_sex": rows["sex"].to_numpy()[i], "control_age": rows["age"].to_numpy()[j],
+                            "control_sex": rows["sex"].to_numpy()[j], "k": k, "case_from": a, "control_from": b, "distance": np.abs(at[i] - at[j]) / unit})
+        return pd.concat([left, met]).reindex(columns=[c.split()[0] for c in out.split(", ")]).astype(
+            {c: "Int64" for c in ("at", "case_left", "control_left", "case_used", "control_used", "k", "case_from", "control_from")})
+
+    while True:
+        both = state.groupBy(*PAIR).agg(F.sum("case_left").alias("c"), F.sum("control_left").alias("t")).filter("c > 0 AND t > 0").select(*PAIR)
+        live = cut(state.filter("case_left > 0 OR control_left > 0").join(both, PAIR, "left_semi"))
+        if live.isEmpty():
             break
-        done.append(met.select(*PAIR, "case_age", "case_sex", "control_age", "control_sex", "k",
-                               F.col("case_used").alias("case_from"), F.col("control_used").alias("control_from"),
-                               F.abs(F.col("case_score") - F.col("control_score")).alias("distance")))
-        used = (met.select(*PAIR, F.col("case_pos").alias("pos"), F.col("k").alias("dc"), F.lit(0).cast("long").alias("dt"))
-                .unionByName(met.select(*PAIR, F.col("control_pos").alias("pos"), F.lit(0).cast("long").alias("dc"), F.col("k").alias("dt"))))
-        state = cut(state.filter("case_left > 0 OR control_left > 0").join(used, [*PAIR, "pos"], "left")
-                    .fillna(0, ["dc", "dt"]).withColumns({
-                        "case_left": F.col("case_left") - F.col("dc"), "control_left": F.col("control_left") - F.col("dt"),
-                        "case_used": F.col("case_used") + F.col("dc"), "control_used": F.col("control_used") + F.col("dt")})
-                    .drop("dc", "dt"))
-    else:
-        raise RuntimeError("matching did not finish")
-    out = done[0]
+        dealt = cut(running(live, PAIR, "at", {"pos": ("row_number", None)}, tie_break=["age", "sex"])
+                    .withColumn("part", F.floor((F.col("pos") - 1) / stretch).cast("long")))
+        ends = cut(dealt.groupBy(*PAIR, "part").agg(F.min("at").alias("lo"), F.max("at").alias("hi")))
+        before = ends.select(*PAIR, (F.col("part") + 1).alias("part"), F.col("hi").alias("before"))
+        after = ends.select(*PAIR, (F.col("part") - 1).alias("part"), F.col("lo").alias("after"))
+        told = dealt.join(before, [*PAIR, "part"], "left").join(after, [*PAIR, "part"], "left")
+        passed = cut(told.groupBy(*PAIR, "part").applyInPandas(run, out))
+        done.append(passed.filter("k IS NOT NULL").select(*PAIR, *made))
+        state = passed.filter("k IS NULL").drop(*made)
+        stretch *= 3
+    result = done[0]
     for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        result = result.unionByName(part)
+    return result
 
 
 def match_samples(meta: DataFrame, plan: DataFrame, cohort: Cohort = DEFAULT) -> DataFrame:

@@ -109,11 +109,14 @@ def test_tails_against_known_values():
 
 
 def brute_match(case, control):
-    pairs = sorted((abs(a - b), min(a, b), i, j) for i, a in case.items() for j, b in control.items())
-    used_i, used_j, out = set(), set(), set()
-    for _, _, i, j in pairs:
-        if i not in used_i and j not in used_j:
-            used_i.add(i), used_j.add(j), out.add((i, j))
+    """Closest neighbours on the line first; ``{id: (score, age, sex)}`` of each side, scores at 9 digits."""
+    line = sorted((round(v[0] * 1e9), *v[1:], side, i) for side, d in (("case", case), ("control", control)) for i, v in d.items())
+    out = set()
+    while pairs := [(line[k + 1][0] - line[k][0], k) for k in range(len(line) - 1) if line[k][3] != line[k + 1][3]]:
+        k = min(pairs)[1]
+        two = sorted(line[k:k + 2], key=lambda x: x[3])
+        out.add((two[0][4], two[1][4]))
+        del line[k:k + 2]
     return out
 
 
@@ -129,12 +132,47 @@ def test_matching_equals_closest_first(spark):
     for (case, control), part in got.groupby(["case_disease", "control_disease"]):
         assert part.case_sample.is_unique and part.control_sample.is_unique
         s = scores[(scores.case_disease == case) & (scores.control_disease == control)].set_index(["age", "sex"]).score
-        pick = lambda dis: {r.sample_id: s[(r.age, r.sex)] for r in meta[meta.disease == dis].itertuples() if (r.age, r.sex) in s.index}
+        pick = lambda dis: {r.sample_id: (s[(r.age, r.sex)], r.age, r.sex) for r in meta[meta.disease == dis].itertuples() if (r.age, r.sex) in s.index}
         assert set(zip(part.case_sample, part.control_sample)) == brute_match(pick(case), pick(control))
         if case == "B":
             assert set(part.control_sex) == {"F"}
 
 
+def test_a_stretch_matches_only_what_is_certain():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(rng.integers(2, 14))
+        score = np.sort(rng.integers(0, rng.choice([8, 30, 1000]), n))
+        side = rng.random(n) < 0.5
+        left = rng.integers(1, 4, n)
+        line = lambda a, b, *out: list(matching.Line(score[a:b], np.where(side, left, 0)[a:b], np.where(side, 0, left)[a:b], *out).matches())
+        units = [(int(score[i]), i, c) for i in range(n) for c in range(left[i])]
+        want = {}
+        while pairs := [(units[k + 1][0] - units[k][0], units[k][1], k) for k in range(len(units) - 1) if side[units[k][1]] != side[units[k + 1][1]]]:
+            k = min(pairs)[2]
+            i, j = sorted((units[k][1], units[k + 1][1]), key=lambda x: not side[x])
+            want[i, j] = want.get((i, j), 0) + 1
+            del units[k:k + 2]
+        assert {(i, j): k for i, j, k in line(0, n)} == want
+        a, b = sorted(rng.choice(n + 1, 2, replace=False))
+        part = line(a, b, int(score[a - 1]) if a else None, int(score[b]) if b < n else None)
+        assert all(want[i + a, j + a] == k for i, j, k in part)
+
+
+def test_a_long_chain_takes_few_passes(spark):
+    """Gaps that shrink to the right: only the last pair is certain at any time, so a round a pair would take 5,000 rounds."""
+    n = 10_000
+    at = np.cumsum(np.arange(2 * n, n, -1)) / 1e9
+    cells = pd.DataFrame({"case_disease": "A", "control_disease": "H", "age": np.arange(n, dtype=float), "sex": "F",
+                          "cases": np.arange(n) % 2, "controls": (np.arange(n) + 1) % 2, "score": at})
+    status = spark.sparkContext.statusTracker()
+    before = len(status.getJobIdsForGroup())
+    for stretch in (20_000, 1_500):
+        got = matching.match_cells(spark.createDataFrame(cells), stretch).toPandas()
+        assert len(got) == n // 2 and (np.abs(got.case_age - got.control_age) == 1).all() and got.k.sum() == n // 2
+    assert len(status.getJobIdsForGroup()) - before < 400
+
+
 def test_matching_with_ties_uses_the_smaller_side(spark):
     meta = pd.DataFrame({"sample_id": range(9), "disease": ["A"] * 6 + ["H"] * 3, "sex": ["F", "M"] * 4 + ["F"], "age": [40.0] * 6 + [41.0, 40.0, 40.0]})
     plan = spark.createDataFrame([("A", "H")], "case_disease string, control_disease string")
