@@ -105,16 +105,15 @@ class Block:
         for m in range(2, longest + 1):
             at = np.flatnonzero(piece[:len(piece) - m + 1] == piece[m - 1:]) if len(piece) >= m else np.zeros(0, np.int64)
             begin = np.maximum(since[at], since[at + 1])
-            at = at[begin != NEVER]
+            at, begin = at[begin != NEVER], begin[begin != NEVER]
             d = phrase_digest([h[at + i] for i in range(m)], salt[at])
-            begin = np.maximum(since[at], since[at + 1])
             here = (begin <= step) & (step < begin.astype(np.int64) + shards)
             _, first, n = np.unique(d[here], return_index=True, return_counts=True)
             first = np.flatnonzero(here)[first]
             yield _rows(names, code[at[first]], m, begin[first], [h[at[first] + i] for i in range(m)], None, n, longest)
             if m < longest:
                 since = np.full(len(h), NEVER, np.uint8)
-                since[at] = active[m][slot(d)]
+                since[at] = np.maximum(active[m][slot(d)], begin)
 
 
 def _rows(names: pa.Array, code: np.ndarray, m: int, begin: np.ndarray | int, words: list[np.ndarray], text: list[str] | None, n: np.ndarray, longest: int) -> pa.RecordBatch:
