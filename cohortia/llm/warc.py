@@ -61,6 +61,7 @@ FILE_BYTES = 256 << 20
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 _CHUNK = 1 << 16
+_HEAD = 1024  # inflated before the predicates on the fields are tested
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -139,7 +140,7 @@ class Member:
 
     def more(self) -> bool:
         if not self.ready:
-            self.ready = self._step(_CHUNK)
+            self.ready = self._step(_HEAD)
         return bool(self.ready)
 
     def _step(self, n: int) -> bytes:
