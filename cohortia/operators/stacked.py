@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cohortia.operators.learn import PENALTIES
 from cohortia.operators.neighbours import _best_holding
 
-SEEDS = 10
+SEEDS = 2
 GROUP_BYTES = 512 << 20
 #: Bytes of Gram matrices that are worked on side by side.
 STACK_BYTES = 64 << 20
