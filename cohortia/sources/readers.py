@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -95,12 +97,20 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return by_kind[kind](spark, path, schema)
 
 
-def read_seed_results(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
-    """One scan over all per-seed result files below ``root``.
+def _either(parts: Sequence[object] | None) -> str:
+    """A listing pattern for any of some names."""
+    return "*" if parts is None else "{" + ",".join(str(p) for p in parts) + "}"
+
+
+def read_seed_results(spark: SparkSession, root: str, schema: StructType | str, types: Sequence[str] | None = None,
+                      classes: Sequence[str] | None = None, seeds: Sequence[int] | None = None) -> DataFrame:
+    """One scan over the per-seed result files below ``root``.
 
-    Files lie at ``<type>/<class>/seed_<n>`` (or ``seed=<n>``); the three parts become
-    the columns type, class and seed.
+    Files lie at ``<type>/<class>/seed_<n>`` (or ``seed=<n>``; a file with any ending, or a folder of files); the three parts
+    become the columns type, class and seed. ``types``, ``classes`` and ``seeds`` name what is wanted: other files are
+    not even listed. It is an error if nothing is there.
     """
+    root = f"{root.rstrip('/')}/{_either(types)}/{_either(classes)}/seed[_=]{_either(seeds)}" + ("" if seeds is None else "{,.*}")
     raw = (spark.read.schema(_as_struct(schema)).option("header", True).option("sep", "\t")
            .option("quote", '"').option("escape", '"').option("recursiveFileLookup", True)
            .option("nullValue", "NA").option("enforceSchema", False).option("mode", "FAILFAST").csv(root))

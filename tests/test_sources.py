@@ -65,3 +65,19 @@ def test_split_two_keeps_hyphens_with_a_declared_delimiter(spark):
     df = spark.createDataFrame([("HLA-A;Name;More",)], "m string")
     row = verbs.split_two(df, "m", ("a", "b"), ";").first()
     assert (row.a, row.b) == ("HLA-A", "Name")
+
+
+def test_one_seed_of_many_lists_one_file(spark, tmp_path):
+    for kind in ("importance", "roc"):
+        for group in ("C1", "C2"):
+            (tmp_path / kind / group).mkdir(parents=True)
+            for seed in range(1, 26):
+                (tmp_path / kind / group / f"seed_{seed}.tsv").write_text(f"a\tb\n{seed}\tx\n")
+    (tmp_path / "importance" / "C1" / "seed=7").mkdir()
+    (tmp_path / "importance" / "C1" / "seed=7" / "part-0.csv").write_text("a\tb\n70\tx\n")
+    read = lambda **k: sources.read_seed_results(spark, str(tmp_path), "a long, b string", **k)
+    assert len(read().inputFiles()) == 101
+    one = read(types=["roc"], classes=["C2"], seeds=[2])
+    assert len(one.inputFiles()) == 1 and [tuple(r) for r in one.collect()] == [(2, "x", "roc", "C2", 2)]
+    some = read(types=["importance"], classes=["C1"], seeds=[7, 25])
+    assert sorted(r.a for r in some.collect()) == [7, 25, 70] and len(some.inputFiles()) == 3
