@@ -250,3 +250,28 @@ def publication_table(spark, d):
     names = table(spark, d, "part").select(F.col("p_partkey").alias("variable"), F.col("p_name").alias("name"))
     both = healthy.unionByName(klass).join(names, "variable").select(*keys, "variable", "name", r6("scaled").alias("scaled"))
     return both.orderBy(*keys, F.col("scaled").desc())
+
+
+_AREAS = """x AS (SELECT control, label AS disease, seed, score, truth FROM s JOIN pl USING (sample_id) JOIN (SELECT DISTINCT disease AS label, class AS own FROM emb_meta) USING (label)
+    JOIN (SELECT sample_id, class FROM emb_meta) USING (sample_id) CROSS JOIN (VALUES ('Healthy'), ('Class'), ('All other diseases')) c(control)
+    WHERE k > floor(0.7 * n) AND label <> 'D0' AND (truth = label OR (control = 'Healthy' AND truth = 'D0') OR (control = 'Class' AND class = own)
+    OR (control = 'All other diseases' AND truth <> 'D0')))"""
+
+
+@query("K24_publication_auc", sql("emb_meta", _split_sql("emb_meta", "range(1, 6)", "disease"), _PROB, _AREAS, *_pair_auc("control, disease, seed", "x", "score", "truth = disease"),
+    body="SELECT control, disease, class, count(*) AS n_seeds, round(avg(auc), 6) AS mean_auc, round(stddev_samp(auc), 6) AS sd_auc FROM a0 "
+         "JOIN (SELECT DISTINCT disease, class FROM emb_meta) USING (disease) GROUP BY 1, 2, 3"))
+def publication_auc(spark, d):
+    """Mean and spread over seeds of each disease's area on test rows, against Healthy, its class, and all other diseases."""
+    meta = emb_meta(spark, d).select("sample_id", "disease", "class")
+    test = P.split(meta, "sample_id", "disease", seeds=range(1, 6)).filter("role = 'test'").select("seed", "sample_id")
+    own = meta.select(F.col("disease").alias("label"), F.col("class").alias("own")).distinct().filter("label <> 'D0'")
+    rows = long_probabilities(spark, d).join(meta.select("sample_id", "class"), "sample_id").join(own, "label").join(test, "sample_id")
+    case = F.col("truth") == F.col("label")
+    against = F.array(F.when(case | (F.col("truth") == "D0"), "Healthy"), F.when(case | (F.col("class") == F.col("own")), "Class"),
+                      F.when(F.col("truth") != "D0", "All other diseases"))
+    each = rows.withColumn("control", F.explode(F.array_compact(against)))
+    keys = ["control", "label", "own", "seed"]
+    areas = R.auc(R.score_levels(each, keys, "score", case), keys)
+    return (areas.groupBy("control", F.col("label").alias("disease"), F.col("own").alias("class"))
+            .agg(F.count("auc").alias("n_seeds"), r6(F.avg("auc")).alias("mean_auc"), r6(F.stddev_samp("auc")).alias("sd_auc")))
