@@ -104,12 +104,38 @@ def gene_sets(spark, d):
     return sets
 
 
-@query("J19_enrichment_scores", sql("line_long line_meta", _GENES,
-    "rk AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY score DESC, gene) AS pos, count(*) OVER (PARTITION BY class) AS n FROM sc)",
+_SETS_IN_LISTS = [
+    "rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY class ORDER BY score DESC, gene) AS pos, count(*) OVER (PARTITION BY class) AS n FROM sc)",
     "sz AS (SELECT class, term, count(*) AS set_size, sum(abs(score)) AS total FROM rk JOIN st USING (gene) GROUP BY 1, 2 HAVING count(*) BETWEEN 10 AND 500)",
     "al AS (SELECT rk.class, sz.term, pos, set_size, CASE WHEN st.gene IS NOT NULL THEN abs(score) / total ELSE -1.0 / (n - set_size) END AS step FROM rk JOIN sz USING (class) LEFT JOIN st ON st.term = sz.term AND st.gene = rk.gene)",
     "ru AS (SELECT *, sum(step) OVER (PARTITION BY class, term ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM al)",
-    body="SELECT class, term, max(set_size) AS set_size, round(CASE WHEN greatest(max(run), 0) > -least(min(run), 0) THEN greatest(max(run), 0) ELSE least(min(run), 0) END, 6) AS es FROM ru GROUP BY 1, 2"))
+    "ob AS MATERIALIZED (SELECT class, term, max(set_size) AS set_size, CASE WHEN greatest(max(run), 0) > -least(min(run), 0) THEN greatest(max(run), 0) ELSE least(min(run), 0) END AS es FROM ru GROUP BY 1, 2)"]
+
+
+def _mixed(x: str) -> str:
+    """The scrambling of 32 bits that deals use, as SQL."""
+    step = lambda v: f"((xor({v}, ({v}) >> 16) * 73244475) & 4294967295)"
+    last = step(step(f"(({x}) & 4294967295)"))
+    return f"xor({last}, {last} >> 16)"
+
+
+_MIRROR = "((k % n - x + n) % n)"
+_DEALS = [
+    "ln AS (SELECT n, max(set_size) AS many FROM (SELECT class, max(n) AS n FROM rk GROUP BY 1) JOIN ob USING (class) GROUP BY 1)",
+    f"ky AS (SELECT p, j, {_mixed(f'213 * 1000003 + p * {E.ROUNDS} + j')} AS k FROM range(1, 1001) a(p), range({E.ROUNDS}) b(j))",
+    f"wk AS (SELECT n, p, nth, nth - 1 AS x, 0::BIGINT AS j FROM ln, range(1, 1001) a(p), range(1, 501) b(nth) WHERE nth <= least(many, n) "
+    f"UNION ALL SELECT n, p, nth, CASE WHEN {_mixed(f'greatest(x, {_MIRROR}) + k')} & 1 = 1 THEN {_MIRROR} ELSE x END, j + 1 FROM wk JOIN ky USING (p, j))",
+    f"pl AS MATERIALIZED (SELECT n, p, nth, x + 1 AS pos FROM wk WHERE j = {E.ROUNDS})",
+    "hi AS (SELECT class, set_size, p, pos, n, abs(score) AS w FROM (SELECT DISTINCT class, set_size FROM ob) JOIN rk USING (class) JOIN pl USING (n, pos) WHERE nth <= set_size)",
+    "hr AS (SELECT *, sum(w) OVER o AS run, count(*) OVER o AS h, sum(w) OVER (PARTITION BY class, set_size, p) AS total FROM hi WINDOW o AS (PARTITION BY class, set_size, p ORDER BY pos ROWS UNBOUNDED PRECEDING))",
+    "ht AS (SELECT class, set_size, p, greatest(0, max(run / total - (pos - h) / (n - set_size))) AS top, least(0, min((run - w) / total - (pos - h) / (n - set_size))) AS low FROM hr GROUP BY 1, 2, 3)",
+    "nu AS (SELECT class, set_size, CASE WHEN top > -low THEN top ELSE low END AS null_es FROM ht)",
+    "pv AS (SELECT ob.class, term, ob.set_size, es, es / avg(abs(null_es)) AS nes, (count(*) FILTER (abs(null_es) >= abs(es)) + 1) / (count(null_es) + 1) AS p_value "
+    "FROM ob LEFT JOIN nu ON nu.class = ob.class AND nu.set_size = ob.set_size AND sign(es) = sign(null_es) GROUP BY 1, 2, 3, 4)",
+    "pr AS (SELECT *, rank() OVER (PARTITION BY class ORDER BY p_value) + count(*) OVER (PARTITION BY class, p_value) - 1 AS k, count(*) OVER (PARTITION BY class) AS m FROM pv)"]
+
+
+@query("J19_enrichment_scores", sql("line_long line_meta", _GENES, *_SETS_IN_LISTS, body="SELECT class, term, set_size, round(es, 6) AS es FROM ob"))
 def enrichment_scores(spark, d):
     from cohortia.session import join_on
     ranked = E.rank_list(gene_scores(spark, d), "class", "gene", "score")
@@ -117,9 +143,10 @@ def enrichment_scores(spark, d):
     return rounded(E.running_scores(join_on(members, ranked, ["class", "gene"], "inner"), ["class", "term"]), "es")
 
 
-@query("J19_enrichment_tests")
+@query("J19_enrichment_tests", sql("line_long line_meta", _GENES, *_SETS_IN_LISTS, *_DEALS, body="""SELECT class, term, set_size, round(es, 6) AS es, round(nes, 6) AS nes,
+    round(p_value, 6) AS p_value, round(least(1, min(p_value * m / k) OVER (PARTITION BY class ORDER BY p_value DESC)), 6) AS adj_p FROM pr""").replace("WITH ", "WITH RECURSIVE ", 1))
 def enrichment_tests(spark, d):
-    return E.enrichment(gene_scores(spark, d), gene_sets(spark, d), group="class", permutations=50)
+    return rounded(E.enrichment(gene_scores(spark, d), gene_sets(spark, d), group="class"), "es", "nes", "p_value", "adj_p")
 
 
 _TERMS = """tm AS (SELECT 'N ' || n_name AS term, l_partkey AS gene FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

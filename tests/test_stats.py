@@ -246,6 +246,43 @@ def test_enrichment_score_by_hand(spark):
     assert out.es == pytest.approx(best) and 0 < out.p_value <= 1
 
 
+def test_deals_are_even_permutations():
+    for n in (1, 2, 7, 100, 257):
+        assert sorted(enrich.deal_places(n, [3], n, 213)[0]) == list(range(1, n + 1))
+        assert list(enrich.deal_places(n, [3], 5, 213)[0]) == list(enrich.deal_places(n, [3], n, 213)[0][:5])
+    n, deals = 40, 8000
+    places = enrich.deal_places(n, np.arange(deals), 6, 213)
+    for column in places.T:  # 39 degrees of freedom: 72 is passed once in a thousand
+        assert ((np.bincount(column, minlength=n + 1)[1:] - deals / n) ** 2 / (deals / n)).sum() < 80
+    gaps = np.abs(places[:, 0] - places[:, 1])
+    expected = deals * 2 * (n - np.arange(1, n)) / (n * (n - 1))
+    assert ((np.bincount(gaps, minlength=n)[1:] - expected) ** 2 / expected).sum() < 80
+
+
+def test_null_scores_against_plain_running_sums(spark):
+    rows = [("d", f"g{i}", float((i * 7) % 13 - 6)) for i in range(30)] + [("e", f"h{i}", 0.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "disease string, gene string, score double")
+    ranked = enrich.rank_list(df, "disease", "gene", "score")
+    sizes = spark.createDataFrame([("d", 3), ("d", 9), ("d", 30), ("e", 4), ("e", 2)], "disease string, set_size long")
+    out = enrich.null_scores(ranked, sizes, "disease", 6, 5).toPandas()
+    assert len(out) == 5 * 6
+    at = {(r.disease, r.position): abs(r.score) for r in ranked.toPandas().itertuples()}
+    length = {"d": 30, "e": 4}
+    for (group, size), part in out.groupby(["disease", "set_size"]):
+        n, wanted = length[group], []
+        for deal in range(1, 7):
+            inside = set(enrich.deal_places(n, [deal], size, 5)[0].tolist())
+            total, run, best, worst = sum(at[group, p] for p in inside), 0.0, 0.0, 0.0
+            for p in range(1, n + 1):
+                if p in inside:
+                    run += at[group, p] / total if total else 0.0
+                else:
+                    run -= 1 / (n - size)
+                best, worst = max(best, run), min(worst, run)
+            wanted.append(0.0 if not total else best if best > -worst + 1e-12 else worst if best < -worst - 1e-12 else 0.0)
+        assert sorted(part.null_es) == pytest.approx(sorted(wanted))
+
+
 def test_histogram_without_facets(spark):
     df = spark.createDataFrame([(float(i),) for i in range(11)] + [(None,)], "v double")
     out = layers.histogram(df, [], "v", 5).toPandas().sort_values("bin")
