@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from cohortia.cohort import DEFAULT, Cohort
 from cohortia.functions.scalar import significance
-from cohortia.functions.tails import f_tail, log_variance_shift, t_tail, t_upper_point, trigamma_half
-from cohortia.operators.ordered import quantiles
+from cohortia.functions.tails import chi2_tail, f_tail, log_variance_shift, t_tail, t_upper_point, trigamma_half
+from cohortia.operators.ordered import quantiles, running
 from cohortia.operators.windows import attach_totals, bh_adjust
 from cohortia.session import cut, join_on
 
@@ -300,10 +300,52 @@ def variance_prior(fit: DataFrame, keys: Sequence[str], robust: bool = False,
     return out.select(*keys, "prior_df", "prior_s2")
 
 
+def assay_priors(fit: DataFrame, prior: DataFrame, keys: Sequence[str], assay: str) -> DataFrame:
+    """Prior df of each assay: variances that the prior cannot explain get a smaller share of it.
+
+    The upper tail of a variance under the prior, over the share of assays at least as variable, is the
+    chance that it is no outlier (1 at most). It mixes the contrast's prior df with one so small that
+    the largest variance would be a median one. Along falling tails the result never falls; the most variable assays
+    share the least running mean. Where the prior has infinite df, outliers get their chance of the
+    pooled df instead. Tails below 1e-300 count as that; assays without a variance keep the contrast's df.
+    """
+    on = [*keys, assay]
+    held = join_on(fit.select(*on, "s2", "df"), prior, keys, "inner")
+    live = attach_totals(held.filter((F.col("s2") > 0) & (F.col("df") > 0)), keys,
+                         __pooled=F.sum("df"), __n=F.count(F.lit(1)))
+    endless = F.col("prior_df") == F.lit(float("inf"))
+    live = live.withColumns({"__f": F.col("s2") / F.col("prior_s2"), "__d0": F.least("prior_df", "__pooled"), "__endless": endless})
+    upper = lambda d2: F.greatest(F.when(F.col("__endless"), chi2_tail(F.col("df") * F.col("__f"), F.col("df")))
+                                  .otherwise(f_tail(F.col("__f"), F.col("df"), d2)), F.lit(1e-300))
+    tails = live.withColumn("__tail", upper(F.col("__d0"))).select(*on, "df", "__f", "__d0", "__pooled", "__n", "__endless", "__tail")
+    placed = cut(running(tails, keys, "__tail", {"__k": ("row_number", None)}, tie_break=[assay]))
+    worst = placed.filter("__k = 1")
+    small = F.log(F.lit(0.5)) / F.log(F.least("__tail", F.lit(0.5))) * F.col("__d0")
+    worst = worst.withColumn("__small", small).withColumn("__again", upper(F.col("__small")))
+    worst = worst.select(*keys, (F.log(F.lit(0.5)) / F.log(F.least("__again", F.lit(0.5))) * F.col("__small")).alias("__least"))
+    chance = F.least(F.col("__tail") * F.col("__n") / (F.col("__k") - 0.5), F.lit(1.0))
+    mixed = F.when(~F.col("__endless"), chance * F.col("__d0") + (1 - chance) * F.col("__least")).when(
+        chance < 1, chance * F.col("__pooled")).otherwise(F.lit(float("inf")))
+    shrunk = join_on(placed, worst, keys, "inner").withColumn("__df", mixed)
+    means = cut(running(shrunk, keys, "__k", {"__run": ("sum", "__df")}))
+    least = F.min_by(F.struct((F.col("__run") / F.col("__k")).alias("m"), F.col("__k").alias("k")),
+                     F.struct(F.col("__run") / F.col("__k"), F.col("__k")))
+    level = attach_totals(means, keys, __least_mean=least)
+    level = level.withColumn("__df", F.when(~F.col("__endless") & (F.col("__k") <= F.col("__least_mean.k")), F.col("__least_mean.m"))
+                             .otherwise(F.col("__df")))
+    risen = running(level.select(*on, "__k", "__df"), keys, "__k", {"__own": ("max", "__df")})
+    return (join_on(held, risen.select(*on, "__own"), on, "left")
+            .select(*on, F.coalesce("__own", "prior_df").alias("prior_df"), "prior_s2"))
+
+
 def moderate(fit: DataFrame, prior: DataFrame, keys: Sequence[str], level: float = 0.95,
-             tails: bool = True) -> DataFrame:
-    """Posterior variance, moderated t and, with ``tails``, its p-value and interval."""
-    joined = attach_totals(join_on(fit, prior, keys, "left"), keys, __pooled=F.sum("df"))
+             tails: bool = True, assay: str | None = None) -> DataFrame:
+    """Posterior variance, moderated t and, with ``tails``, its p-value and interval.
+
+    ``prior`` has a row for each contrast or, where ``assay`` names its column, for each contrast and assay.
+    """
+    on = [*keys, assay] if assay else keys
+    joined = attach_totals(join_on(fit, prior, on, "left"), keys, __pooled=F.sum("df"))
     endless = F.col("prior_df") == F.lit(float("inf"))
     s2 = F.when(endless, F.col("prior_s2")).otherwise(
         (F.col("prior_df") * F.col("prior_s2") + F.col("df") * F.col("s2")) / (F.col("prior_df") + F.col("df")))
@@ -320,10 +362,16 @@ def moderate(fit: DataFrame, prior: DataFrame, keys: Sequence[str], level: float
 
 
 def differential(fit: DataFrame, keys: Sequence[str], robust: bool = True, p_cut: float = 0.05,
-                 effect_cut: float = 0.0) -> DataFrame:
-    """Moderated test of every (contrast, assay), adjusted per contrast, with its call."""
+                 effect_cut: float = 0.0, assay: str = DEFAULT.assay) -> DataFrame:
+    """Moderated test of every (contrast, assay), adjusted per contrast, with its call.
+
+    ``robust`` fits the prior to pulled-in log variances and gives outlying assays a prior df of their own.
+    """
     once = cut(fit)
-    tested = cut(moderate(once, variance_prior(once, keys, robust), keys))
+    prior = variance_prior(once, keys, robust)
+    if robust:
+        prior = assay_priors(once, cut(prior), keys, assay)
+    tested = cut(moderate(once, prior, keys, assay=assay if robust else None))
     adjusted = bh_adjust(tested, keys)
     return adjusted.withColumn("sig", significance(F.col("adj_p"), F.col("log_fc"), p_cut, effect_cut))
 

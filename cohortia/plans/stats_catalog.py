@@ -246,6 +246,37 @@ def moderated_given(spark, d):
     return rounded(out.select("control", "contrast", "assay", "s2_post", "t_mod", "df_total"), "s2_post", "t_mod", "df_total")
 
 
+def _f_upper_sql(f: str, df1: str, df2: str) -> str:
+    """Upper tail of F in SQL, by the series of the incomplete beta integral (all its terms are positive)."""
+    a, b, x = f"({df2} / 2)", f"({df1} / 2)", f"({df2} / ({df2} + {df1} * {f}))"
+    terms = f"exp(lgamma({a} + {b} + i + 1) - lgamma({a} + {b}) - lgamma({a} + i + 2) + lgamma({a} + 1) + (i + 1) * ln({x}))"
+    return (f"exp({a} * ln({x}) + {b} * ln(1 - {x}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})) "
+            f"* (1 + list_sum([{terms} for i in range(4000)]))")
+
+
+_GIVEN_DF, _GIVEN_S2 = 40.0, 0.0124
+
+
+@query("J14_assay_priors", sql("emb_long", *_PLAN_ALL, _JOINED, *_EFF,
+    f"va AS (SELECT control, contrast, assay, s2 / {_GIVEN_S2} AS f, CAST(n_case + n_control - 4 AS DOUBLE) AS df FROM fit WHERE s2 > 0)",
+    f"ta AS MATERIALIZED (SELECT *, least({_GIVEN_DF}, sum(df) OVER (PARTITION BY control, contrast)) AS d0, {_f_upper_sql('f', 'df', f'{_GIVEN_DF}')} AS tail FROM va)",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY control, contrast ORDER BY tail, assay) AS k, count(*) OVER (PARTITION BY control, contrast) AS n FROM ta)",
+    "w1 AS (SELECT control, contrast, f, df, ln(0.5) / ln(tail) * d0 AS small FROM rk WHERE k = 1)",
+    f"w2 AS (SELECT control, contrast, ln(0.5) / ln({_f_upper_sql('f', 'df', 'small')}) * small AS least_df FROM w1)",
+    "ch AS (SELECT *, least(1.0, tail / ((k - 0.5) / n)) AS chance FROM rk JOIN w2 USING (control, contrast))",
+    "mx AS (SELECT control, contrast, assay, k, chance * d0 + (1 - chance) * least_df AS own FROM ch)",
+    "rn AS (SELECT *, avg(own) OVER (PARTITION BY control, contrast ORDER BY k ROWS UNBOUNDED PRECEDING) AS m FROM mx)",
+    "lo AS (SELECT control, contrast, min(m) AS lm, arg_min(k, m) AS lk FROM rn GROUP BY 1, 2)",
+    body="""SELECT control, contrast, assay, round(max(CASE WHEN k <= lk THEN lm ELSE own END) OVER (PARTITION BY control, contrast ORDER BY k
+    ROWS UNBOUNDED PRECEDING), 6) AS prior_df FROM rn JOIN lo USING (control, contrast)"""))
+def assay_priors(spark, d):
+    """Prior df of each assay under a given prior that many variances exceed."""
+    fit = cut(adjusted_fit(spark, d))
+    prior = fit.select("control", "contrast").distinct().withColumns({"prior_df": F.lit(_GIVEN_DF), "prior_s2": F.lit(_GIVEN_S2)})
+    out = LM.assay_priors(fit, prior, ["control", "contrast"], "assay")
+    return rounded(out.select("control", "contrast", "assay", "prior_df"), "prior_df")
+
+
 @query("J14_differential")
 def differential(spark, d):
     return LM.differential(adjusted_fit(spark, d), ["control", "contrast"], robust=True, effect_cut=0.02)

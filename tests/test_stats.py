@@ -100,6 +100,48 @@ def test_prior_recovers_known_values(spark):
     assert got.prior_df == pytest.approx(d0, rel=0.3)
 
 
+def plain_assay_priors(s2, df, d0, s0):
+    """Prior df of each assay, one array after another."""
+    n, pooled = len(s2), df * len(s2)
+    f, endless, d0 = s2 / s0, np.isinf(d0), min(d0, pooled)
+    tail = np.maximum(T.chi2_upper(df * f, df) if endless else T.f_upper(f, df, d0), 1e-300)
+    order = np.argsort(tail, kind="stable")
+    k = np.arange(1, n + 1)
+    chance = np.minimum(tail[order] / ((k - 0.5) / n), 1)
+    if endless:
+        along = np.where(chance < 1, chance * pooled, np.inf)
+    else:
+        small = np.log(0.5) / np.log(min(tail[order][0], 0.5)) * d0
+        small *= np.log(0.5) / np.log(min(T.f_upper(f[order][0], df, small), 0.5))
+        along = chance * d0 + (1 - chance) * small
+        means = np.cumsum(along) / k
+        along[:means.argmin() + 1] = means.min()
+    out = np.empty(n)
+    out[order] = np.maximum.accumulate(along)
+    return out
+
+
+def test_outlying_assays_get_a_small_prior_df(spark):
+    rng = np.random.default_rng(5)
+    d = 20.0
+    parts, wanted = [], {}
+    for key, d0, s0, n in (("a", 8.0, 0.5, 400), ("b", np.inf, 0.5, 300), ("c", 8.0, 0.5, 1)):
+        s2 = (d0 * s0 / rng.chisquare(d0, n) if np.isfinite(d0) else s0) * rng.chisquare(d, n) / d
+        s2[:n // 40] *= 1e3
+        parts.append(pd.DataFrame({"k": key, "assay": [f"x{i}" for i in range(n)], "s2": s2, "df": d, "prior_df": d0, "prior_s2": s0}))
+        wanted[key] = plain_assay_priors(s2, d, d0, s0)
+    rows = pd.concat([*parts, pd.DataFrame({"k": "a", "assay": ["flat", "short"], "s2": [0.0, 1.0], "df": [d, 0.0], "prior_df": 8.0, "prior_s2": 0.5})])
+    fit = spark.createDataFrame(rows[["k", "assay", "s2", "df"]])
+    prior = spark.createDataFrame(rows[["k", "prior_df", "prior_s2"]].drop_duplicates())
+    got = linear.assay_priors(fit, prior, ["k"], "assay").toPandas().set_index(["k", "assay"]).prior_df
+    assert len(got) == len(rows)
+    for key, values in wanted.items():
+        assert np.allclose([got[key, f"x{i}"] for i in range(len(values))], values, rtol=1e-9)
+    assert got["a", "flat"] == 8.0 and got["a", "short"] == 8.0
+    assert max(got["a", f"x{i}"] for i in range(10)) < 1.0 and np.median([got["a", f"x{i}"] for i in range(10, 400)]) > 7.9
+    assert max(got["b", f"x{i}"] for i in range(7)) < 1e-3 and np.median([got["b", f"x{i}"] for i in range(7, 300)]) > 100 * d
+
+
 def test_tails_against_known_values():
     assert T.t_two_sided([2.0], [10])[0] == pytest.approx(0.07338803, rel=1e-6)
     assert T.f_upper(4.0, 2, 10) == pytest.approx(0.05292215, rel=1e-6)
