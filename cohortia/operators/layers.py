@@ -37,8 +37,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 30) ->
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles and whiskers ending at the furthest point within 1.5 times the box height."""
-    q = quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75},
-                  extra=[F.count(value).alias("n"), F.avg(value).alias("mean")])
+    q = quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, mean="mean", count="n")
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - fence) & (F.col(value) <= F.col("q3") + fence)
     ends = (join_on(df.select(*keys, value), q.select(*keys, "q1", "q3"), keys, "inner")

@@ -98,28 +98,97 @@ def running(df: DataFrame, keys: Sequence[str], order: str,
     return _by_level(out, keys, order, descending, shared) if shared else out
 
 
+CELLS = 8192  # per e-fold of a value's size, and of an interval that is looked at again
+
+
+def _log_cell(value: Column) -> Column:
+    """A whole number that never falls as the value grows: equal parts of the logarithm on both sides of zero."""
+    v = value.cast("double")
+    part = lambda x: F.floor(F.log(x) * CELLS) + 750 * CELLS
+    endless = F.lit(float("inf"))
+    return (F.when(F.isnan(v), 3000 * CELLS).when(v == endless, 2000 * CELLS).when(v == -endless, -2000 * CELLS)
+            .when(v > 0, part(v)).when(v < 0, -part(-v)).when(v == 0, 0)).cast("long")
+
+
+def _settled(rank: Column, held: Column) -> Column:
+    """The value at a rank, where the cell that holds the rank tells it: one value only, or the cell's first or last row."""
+    return (F.when((held["lo"] == held["hi"]) | (rank == held["start"]), held["lo"])
+            .when(rank == held["start"] + held["n"] - 1, held["hi"]))
+
+
+def _values_at(rows: DataFrame, on: Sequence[str], value: str, todo: DataFrame) -> DataFrame:
+    """Values at ranks inside intervals; ``todo`` holds (keys, tag, rank, held), the result (keys, tag, v).
+
+    An interval is cut into equal cells from its smallest to its largest value, which counts again
+    narrow down. Every round splits an interval, down to single values after a few. ``todo`` reads a written table.
+    """
+    found = []
+    while not todo.isEmpty():
+        spans = todo.select(*on, "held.cell", F.col("held.lo").alias("__lo"), F.col("held.hi").alias("__hi")).distinct()
+        inside = (join_on(rows, spans.withColumnRenamed("cell", "__cell"), [*on, "__cell"], "inner")
+                  .filter(F.col(value).between(F.col("__lo"), F.col("__hi"))))
+        gone = (F.col(value) - F.col("__lo")).cast("double") / (F.col("__hi") - F.col("__lo")).cast("double")
+        part = [*on, "__cell", "__lo"]
+        counts = inside.groupBy(*part, F.floor(gone * CELLS).alias("__sub")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        along = Window.partitionBy(*part).orderBy("__sub").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counts.withColumn("start", F.sum("n").over(along) - F.col("n"))
+        asked = todo.select(*on, "tag", (F.col("rank") - F.col("held.start")).alias("rank"),
+                            F.col("held.cell").alias("__cell"), F.col("held.lo").alias("__lo"))
+        at = (join_on(asked, placed, part, "inner")
+              .filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
+              .select(*on, "tag", "rank", F.struct("lo", "hi", "start", "n", F.col("__cell").alias("cell")).alias("held")))
+        at = cut(at.withColumn("v", _settled(F.col("rank"), F.col("held"))))
+        found.append(at.filter(F.col("v").isNotNull()).select(*on, "tag", "v"))
+        todo = at.filter(F.col("v").isNull()).drop("v")
+    out = None
+    for f in found:
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *,
-              extra: Sequence[Column] = ()) -> DataFrame:
-    """Exact linearly interpolated quantiles per group; NULL values are skipped.
+              extra: Sequence[Column] = (), mean: str | None = None, count: str | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group; NULL values are skipped, NaN is the largest.
 
-    ``extra`` holds further aggregate expressions per group. Rows are counted to distinct values, and
-    the two values around each quantile are found by running counts.
+    Selection by counts: values are counted in cells of a fixed logarithmic grid, so a hot group is
+    combined to its cells before any shuffle, and no row is sorted or written. Only cells that hold a
+    wanted rank among several values are looked at again (`_values_at`). ``mean`` and ``count`` name columns
+    that the same counts give; ``extra`` holds other aggregate expressions, for one more aggregate over the rows.
     """
     one = "__one"
     base = df if keys else df.withColumn(one, F.lit(1))
     on = list(keys) or [one]
-    levels = base.filter(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count(F.lit(1)).alias("__n"))
-    placed = _along(levels, on, [F.col(value).asc()], {"__end": ("sum", "__n")})
-    totals = base.groupBy(*on).agg(F.count(value).alias("__total"), *extra)
-    at = join_on(placed, totals.select(*on, "__total"), on, "inner")
+    rows = base.select(*on, value).withColumn("__cell", _log_cell(F.col(value)))
+    cells = rows.groupBy(*on, "__cell").agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+                                            *([F.sum(value).alias("__sum")] if mean else []))
+    every = Window.partitionBy(*on)
+    along = every.orderBy(F.col("__cell").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.withColumns({"__total": F.sum("n").over(every), "start": F.sum("n").over(along) - F.col("n")})
+    ends = {f"{tag}_{n}": fn((F.col("__total") - 1) * F.lit(float(p))) for n, p in probs.items()
+            for tag, fn in (("lo", F.floor), ("hi", F.ceil))}
+    here = F.struct("lo", "hi", "start", "n", F.col("__cell").alias("cell"))
+    picked = placed.groupBy(*on).agg(
+        F.max("__total").alias("__total"), *([F.sum("__sum").alias("__sum")] if mean else []),
+        *[F.max(F.when((rank >= F.col("start")) & (rank < F.col("start") + F.col("n")), here)).alias(f"__at_{t}") for t, rank in ends.items()])
+    picked = cut(picked.withColumns({f"__v_{t}": _settled(rank, F.col(f"__at_{t}")) for t, rank in ends.items()}))
+    open_ends = F.array(*[F.struct(F.lit(t).alias("tag"), rank.alias("rank"), F.col(f"__at_{t}").alias("held"), F.col(f"__v_{t}").alias("v"))
+                          for t, rank in ends.items()])
+    todo = (picked.select(*on, F.explode(open_ends).alias("e")).select(*on, "e.*")
+            .filter(F.col("v").isNull() & F.col("held").isNotNull()).drop("v"))
+    found = _values_at(rows, on, value, todo)
+    if found is not None:
+        wide = found.groupBy(*on).agg(*[F.max(F.when(F.col("tag") == t, F.col("v"))).alias(f"__f_{t}") for t in ends])
+        picked = join_on(picked, wide, on, "left").withColumns({f"__v_{t}": F.coalesce(f"__v_{t}", f"__f_{t}") for t in ends})
+    out = picked
+    if extra:
+        out = join_on(out, base.groupBy(*on).agg(*extra), on, "left")
+    made = out.columns[len(picked.columns):]
     h = {n: (F.col("__total") - 1) * F.lit(float(p)) for n, p in probs.items()}
-    holds = lambda pos: (F.col("__end") > pos) & (F.col("__end") - F.col("__n") <= pos)
-    picked = at.groupBy(*on).agg(*[
-        F.max(F.when(holds(fn(h[n])), F.col(value))).alias(f"__{tag}_{n}")
-        for n in probs for tag, fn in (("lo", F.floor), ("hi", F.ceil))])
-    out = join_on(totals, picked, on, "left")
-    out = out.withColumns({n: F.col(f"__lo_{n}") + (h[n] - F.floor(h[n])) * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) for n in probs})
-    return out.drop("__total", *[f"__{tag}_{n}" for n in probs for tag in ("lo", "hi")], *([] if keys else [one]))
+    lo, hi = {n: F.col(f"__v_lo_{n}") for n in probs}, {n: F.col(f"__v_hi_{n}") for n in probs}
+    between = {n: F.when(lo[n] == hi[n], lo[n] * F.lit(1.0)).otherwise(lo[n] + (h[n] - F.floor(h[n])) * (hi[n] - lo[n])) for n in probs}
+    shared = {**({mean: F.col("__sum") / F.nullif("__total", F.lit(0))} if mean else {}), **({count: F.col("__total")} if count else {})}
+    return out.select(*keys, *made, *[c.alias(n) for n, c in {**shared, **between}.items()])
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, out: str = "rank",

@@ -73,8 +73,7 @@ def visit_ranges(meta: DataFrame, date: str = "date", cohort: Cohort = DEFAULT)
 def five_figures(long: DataFrame, keys: Sequence[str], digits: int = 2,
                  cohort: Cohort = DEFAULT) -> DataFrame:
     """Rounded mean, median and quartiles per group."""
-    out = quantiles(long, keys, cohort.value, {"q1": 0.25, "median": 0.5, "q3": 0.75},
-                    extra=[F.avg(cohort.value).alias("mean")])
+    out = quantiles(long, keys, cohort.value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, mean="mean")
     return out.withColumns({n: F.bround(F.col(n), digits) for n in ("mean", "median", "q1", "q3")})
 
 

@@ -119,3 +119,35 @@ def test_split_folds_and_balance(skewed):
     assert (sizes.max(axis=1) - sizes.min(axis=1)).max() <= 1 and len(f) == len(pdf)
     down = P.downsample(df, "g", "id").toPandas()
     assert set(down.groupby("g").size()) == {pdf.g.value_counts().min()}
+
+
+def test_quantiles_of_values_that_lie_close(spark):
+    """Several rounds of narrowing: neighbours of one double, both signs, zeros, ties, far ends, whole numbers beyond 2^53."""
+    rng = np.random.default_rng(3)
+    near = 1.0 + np.arange(3000) * 2.0 ** -52
+    groups = {
+        "near": np.concatenate([near, [1.0001]]), "signs": np.concatenate([-rng.lognormal(0, 9, 800), [0.0, -0.0, 0.0], rng.lognormal(0, 9, 700)]),
+        "ties": np.repeat([2.5, 2.5000001, 2.5000002], [500, 3, 400]), "small": np.array([5e-324, 1e-323, 1.5e-323, 2e-323, 2.2e-308]),
+        "one": np.array([7.0]), "below": -near}
+    rows = [(g, float(v), 2 ** 60 + i) for g, vs in groups.items() for i, v in enumerate(rng.permutation(vs))] + [("none", None, None), ("one", None, None)]
+    df = spark.createDataFrame(rows, "g string, v double, whole long")
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.77, "e": 1.0}
+    got = O.quantiles(df, ["g"], "v", probs, mean="m", count="n").toPandas().set_index("g")
+    assert set(got.index) == {*groups, "none"} and got.loc["none"].drop("n").isna().all() and got.n["none"] == 0
+    for g, vs in groups.items():
+        assert got.n[g] == len(vs) and got.m[g] == pytest.approx(vs.mean(), rel=1e-9)
+        ordered = np.sort(vs)
+        for name, p in probs.items():
+            h = (len(vs) - 1) * p
+            lo, hi = ordered[int(np.floor(h))], ordered[int(np.ceil(h))]
+            assert got.loc[g, name] == lo + (h - np.floor(h)) * (hi - lo)
+    whole = O.quantiles(df.filter("g = 'near'"), [], "whole", {"lo": 0.0, "third": 1 / 3, "hi": 1.0}).toPandas().iloc[0]
+    assert whole.lo == 2 ** 60 and whole.hi == 2 ** 60 + 3000 and whole.third == 2 ** 60 + 1000
+
+
+def test_quantiles_with_endless_values(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(v,) for v in (nan, inf, -inf, 1.0, 2.0)], "v double")
+    got = O.quantiles(df, [], "v", {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0}).toPandas().iloc[0]
+    assert list(got)[:4] == [-inf, 1.0, 2.0, inf] and np.isnan(got.q4)
+    assert O.quantiles(df.filter("v = 5"), ["v"], "v", {"q": 0.5}).count() == 0
