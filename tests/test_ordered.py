@@ -150,4 +150,4 @@ def test_quantiles_with_endless_values(spark):
     df = spark.createDataFrame([(v,) for v in (nan, inf, -inf, 1.0, 2.0)], "v double")
     got = O.quantiles(df, [], "v", {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0}).toPandas().iloc[0]
     assert list(got)[:4] == [-inf, 1.0, 2.0, inf] and np.isnan(got.q4)
-    assert O.quantiles(df.filter("v = 5"), ["v"], "v", {"q": 0.5}).count() == 0
+    assert O.quantiles(df.filter("v = 5").withColumn("k", F.lit("x")), ["k"], "v", {"q": 0.5}).count() == 0
