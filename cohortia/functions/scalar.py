@@ -118,3 +118,10 @@ def prediction_offset(truth: Column, predicted: Column) -> Column:
 def label_above(value: Column, threshold: float) -> Column:
     """The value as text above the threshold, blank otherwise."""
     return F.when(value > threshold, value.cast("string")).otherwise("")
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of the rows that hold both (an aggregate); NULL where either does not vary."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    varies = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.cohort import DEFAULT, Cohort
+from cohortia.functions.scalar import correlation
 from cohortia.operators.ordered import running
 from cohortia.operators.prepare import knn_impute, normalize
 from cohortia.operators.reshape import vectors
@@ -64,4 +65,4 @@ def group_correlation(long: DataFrame, cohort: Cohort = DEFAULT, lower_only: boo
     pairs = a.join(b, c.assay)
     if lower_only:
         pairs = pairs.filter("a > b")
-    return pairs.groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
+    return pairs.groupBy("a", "b").agg(correlation(F.col("ra"), F.col("rb")).alias("rho"))

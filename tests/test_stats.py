@@ -366,3 +366,12 @@ def test_no_sample_is_lost_in_features(spark):
     features = spark.createDataFrame([("A", 0.0, 2.0, 0), ("B", 1.0, 1.0, 1)], "assay string, mean double, sd double, row int")
     got = {r.sample_id: r.features.toArray().tolist() for r in learn.feature_vectors(df, features).collect()}
     assert got == {"s1": [0.5, 0.0], "s2": [0.0, 0.0], "s3": [0.0, 1.0]}
+
+
+def test_a_constant_prediction_has_no_correlation(spark):
+    """The strongest penalty leaves the intercept alone: an error of the prediction, but no correlation."""
+    rows = [("flat", float(i), 2.5) for i in range(6)] + [("good", float(i), 2.0 * i + 1) for i in range(6)] + [("good", 7.0, None)]
+    df = spark.createDataFrame(rows, "g string, y double, p double")
+    got = {r.g: r for r in roc.regression_metrics(df, ["g"], "y", "p").collect()}
+    assert got["flat"].r2 is None and got["flat"].rmse == pytest.approx(np.sqrt(np.mean((np.arange(6) - 2.5) ** 2)))
+    assert got["good"].r2 == pytest.approx(1.0) and got["good"].n == 7
