@@ -89,3 +89,38 @@ def test_tasks_of_all_kinds_in_one_job(spark):
     few = S.fit_tasks(points, used, penalties=(0.01,)).toPandas()
     assert len(few) == 3 and all(len(e[0]) == 2 for e in few.estimates)
     assert pd.Series([r for r in few.merit]).min() > -0.6
+
+
+def test_large_tasks_keep_their_rows_in_blocks(spark, monkeypatch):
+    """Tasks beyond a group: same splits, penalties and models as fitted in a group, and no group holds a task."""
+    rng, x, eta = data(700, 8)
+    x[:, 5] = rng.random(700) < 0.01  # of near-zero variance
+    x[:, 6] = rng.integers(0, 4, 700)  # few values, but varied
+    points = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    rows = []
+    for task, classes, label in [("two", 2, (eta + rng.logistic(0, 1, 700) > 0).astype(float)), ("three", 3, np.digitize(eta + rng.logistic(0, 1, 700), [-1, 1]).astype(float)),
+                                 ("number", 0, 1e3 + eta + rng.normal(0, 1, 700))]:
+        for seed in (1, 2):
+            fold = np.random.default_rng(seed).integers(-1, 4, 700)
+            rows += [(task, classes, seed, i, float(label[i]), int(fold[i])) for i in range(700)]
+    members = spark.createDataFrame(rows, "task string, classes int, seed int, id long, label double, fold int")
+    penalties = (0.002, 0.02, 0.1, 1.0)
+    group = S.fit_tasks(points, members, penalties=penalties).toPandas().sort_values(["task", "seed"], ignore_index=True)
+    monkeypatch.setattr(S, "SPREAD_BYTES", 1 << 10)
+    monkeypatch.setattr(S, "GROUP_BYTES", 1 << 11)
+    got = S.fit_tasks(points, members, penalties=penalties)
+    wide = got.toPandas().sort_values(["task", "seed"], ignore_index=True)
+    assert (wide[["task", "seed", "n_train", "n_test"]] == group[["task", "seed", "n_train", "n_test"]]).all().all()
+    assert (wide.broken <= S.TOLERANCE + 1e-9).all()
+    for a, b in zip(wide.itertuples(), group.itertuples(), strict=True):
+        assert np.allclose(a.cv, b.cv, atol=2e-3), a.task
+        if a.penalty == b.penalty:
+            e, f = (np.array([list(r) for r in m.estimates]) for m in (a, b))
+            level = [np.array(m.intercept) - (np.mean(m.intercept) if a.task == "three" else 0) for m in (a, b)]  # chances tell intercepts up to a shift
+            assert np.allclose(e, f, atol=0.02) and np.allclose(*level, atol=0.02)
+            assert (e[:, 5] == 0).all()
+            assert np.allclose([list(t["fit"]) for t in a.test], [list(t["fit"]) for t in sorted(b.test, key=lambda t: t["id"])], atol=0.02)
+    assert (wide.penalty == group.penalty).sum() >= 5
+    assert S.predictions(got).count() == sum(1 for r in rows if r[5] == -1)
+    few = S.fit_tasks(points, members.withColumn("used", F.array(F.lit(0), F.lit(5), F.lit(1))).filter("task = 'two'"), penalties=(0.01,)).toPandas()
+    assert len(few) == 2 and all(len(e[0]) == 3 and e[0][1] == 0 for e in few.estimates)
