@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortia.operators import neighbours as N
 
@@ -68,3 +69,23 @@ def test_gaps_are_filled_from_few_blocks(spark):
                                     for i, (r, q) in enumerate(zip(s, x))], "id long, s array<double>, x array<double>")
     rows, pairs = N.observed_blocks(packed, 3, 40)
     assert pairs.count() < rows.select("part").distinct().count() ** 2 / 2
+
+
+def test_a_vector_is_shipped_to_halls_not_to_blocks(spark, monkeypatch):
+    """Where bounds rule out nothing, a vector has a copy for each hall, whatever the number of blocks; results stay exact, also with copies."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 24))
+    x[600:] = x[:100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    monkeypatch.setattr(N, "HALL_BYTES", 700 * 24 * 8 // 3)
+    monkeypatch.setattr(N, "HELD", 64)
+    pivots = N._pivots(df, len(x))
+    rows = N.placed(df, pivots, 4, 16)
+    rings = rows.groupBy("part", "cell").agg(F.min("away").alias("near"), F.max("away").alias("far"), F.count(F.lit(1)).alias("n")).orderBy("part").toArrow()
+    assert len(rings) > 40 and N.halls_for(700, 24) == 3
+    assert N.asked(rows, pivots, 4, rings, N._halls(rings["n"].to_numpy(), 3)).count() <= 3 * 700
+    got = N.nearest(df, "id", "v", 4, block=16).toPandas().sort_values(["id", "rank"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d), axis=1)[:, :4]
+    assert (got.neighbour.to_numpy().reshape(-1, 4) == want).all()
