@@ -89,3 +89,22 @@ def test_a_vector_is_shipped_to_halls_not_to_blocks(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     want = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d), axis=1)[:, :4]
     assert (got.neighbour.to_numpy().reshape(-1, 4) == want).all()
+
+
+def test_gaps_meet_halls_as_they_meet_all_rows(spark, monkeypatch):
+    """Rows without order: halls and screened blocks give what all rows at once give, ties by id, rows with nothing in common left out."""
+    rng = np.random.default_rng(6)
+    s = rng.integers(0, 5, (300, 7)) / 4
+    s[rng.random(s.shape) < 0.15] = np.nan
+    s[0] = np.nan
+    ids, reach = rng.permutation(300), np.full(300, np.inf)
+    monkeypatch.setattr(N, "HELD", 200)
+    want = N._best_holding(s, ids, s, ids, 3)
+    got = N._met_holding(s, ids, reach, np.arange(300) // 40, s, ids, np.arange(300) // 40, np.ones((8, 8), bool), 3)
+    told = [sorted(zip(x[0], x[1], ids[x[2]], np.round(x[3], 12), strict=True)) for x in (want, got)]
+    assert told[0] == told[1] and len(told[0]) > 600
+    monkeypatch.setattr(N, "HALL_BYTES", 300 * 7 * 16 // 4)
+    long = [(i, f"a{j}", None if np.isnan(v) else float(v)) for i, r in enumerate(s) for j, v in enumerate(r)]
+    found = N.nearest_observed(spark.createDataFrame(long, "sample_id long, assay string, value double"), 3, block=20).toPandas()
+    each = N._best_holding(s, np.arange(300), s, np.arange(300), 3)
+    assert sorted(zip(found.sample_id, found.assay, found.neighbour, strict=True)) == sorted((i, f"a{j}", o) for i, j, o in zip(*each[:3], strict=True))
