@@ -375,3 +375,18 @@ def test_a_constant_prediction_has_no_correlation(spark):
     got = {r.g: r for r in roc.regression_metrics(df, ["g"], "y", "p").collect()}
     assert got["flat"].r2 is None and got["flat"].rmse == pytest.approx(np.sqrt(np.mean((np.arange(6) - 2.5) ** 2)))
     assert got["good"].r2 == pytest.approx(1.0) and got["good"].n == 7
+
+
+def test_the_report_works_filled_rows_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def looked(v):
+        seen.add(1)
+        return True
+
+    before = spark.createDataFrame([(i, a, None if i == 2 and a == "x" else 1.0) for i in range(20) for a in "xy"], "sample_id long, assay string, value double")
+    after = before.fillna(0.0, subset=["value"]).filter(looked("value"))
+    got = prepare.imputation_report(before, after).first()
+    assert (got.n_samples, got.n_assays, got.n_imputed) == (20, 2, 1) and got.percent == pytest.approx(100 / 60)
+    assert seen.value == 40
