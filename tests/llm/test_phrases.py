@@ -76,6 +76,24 @@ def test_longer_phrases_and_a_crowded_filter(spark, monkeypatch):
     assert found(got) == brute([r[1:3] for r in rows], 6, 5, 40, 80)
 
 
+def test_counts_meet_by_range(spark, monkeypatch):
+    """A scan sends one row for each range and length, not one for each phrase; many small ranges change no count."""
+    words = " ".join(f"w{i}" for i in range(3000))
+    block = phrases.Block()
+    for _, texts in phrases.W.slices(phrases.pa.array([words, words])):
+        block.add(texts, ["en"] * texts.n)
+    active = {m: phrases.np.zeros(1 << phrases.FILTER_BITS, phrases.np.uint8) for m in (1, 2)}
+    sent = [r for b in block.count(1, 3, active, 3, phrases.np.array([1 << 62, 1 << 63], phrases.np.uint64)) for r in b.to_pylist()]
+    assert len(sent) <= 1 + 3 * 3
+    assert [sum(len(r["n"]) // 8 for r in sent if r["m"] == m) for m in range(4)] == [1, 3000, 2999, 2998]
+    monkeypatch.setattr(phrases, "RANGE_BYTES", 500)
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", 700)
+    rows = made(4, 200)
+    got = phrases.frequent(H.table(spark, rows), least=4).collect()
+    f, _ = counts([r[1:3] for r in rows])
+    assert sorted((r.g, r.m, r.n) for r in got if r.m) == sorted((g, len(w), c) for (g, w), c in f.items() if c >= 4)
+
+
 def test_counts_are_exact(spark):
     rows = made(3, 200)
     f, n = counts([r[1:3] for r in rows])
