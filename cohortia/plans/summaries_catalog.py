@@ -197,10 +197,10 @@ _IMP_SQL = """imp AS (SELECT gene AS variable, batch AS seed, quantity - 25 AS i
     CASE WHEN quantity > 25 THEN 'POS' WHEN quantity < 25 THEN 'NEG' END AS sign, assay FROM line_long)"""
 
 
-def importances(spark, d):
+def importances(spark, d, rows=0):
     """Parts as features, suppliers as runs, centred quantity as signed importance."""
     q = F.col("quantity") - 25
-    return line_long(spark, d).select(
+    return line_long(spark, d, rows).select(
         F.col("gene").alias("variable"), F.col("batch").alias("seed"), q.alias("importance"),
         F.when(q > 0, "POS").when(q < 0, "NEG").alias("sign"), "assay")
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cohortia import session
+from cohortia.plans import catalog
 from cohortia.operators import ordered as O
 from cohortia.operators import prepare as P
 from cohortia.operators import windows as W
@@ -151,3 +153,16 @@ def test_quantiles_with_endless_values(spark):
     got = O.quantiles(df, [], "v", {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0}).toPandas().iloc[0]
     assert list(got)[:4] == [-inf, 1.0, 2.0, inf] and np.isnan(got.q4)
     assert O.quantiles(df.filter("v = 5").withColumn("k", F.lit("x")), ["k"], "v", {"q": 0.5}).count() == 0
+
+
+def test_lookups_of_many_rows_are_hashed_and_the_order_holds(spark, sf_dir, monkeypatch):
+    key = "K24_publication_table"
+    few = [tuple(r) for r in catalog.QUERIES[key](spark, sf_dir).collect()]
+    monkeypatch.setattr(session, "MANY_ROWS", 0)
+    monkeypatch.setattr(session, "SORTED_ROWS", 500)
+    many = catalog.QUERIES[key](spark, sf_dir)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and plan.count("ShuffledHashJoin") >= 5
+    got = [tuple(r) for r in many.collect()]
+    by = lambda r: (*r[:3], -r[5])
+    assert sorted(got) == sorted(few) and [by(r) for r in got] == sorted(map(by, got))
