@@ -172,3 +172,56 @@ def test_toxicity_without_labels(spark):
     got = toxicity.score(H.table(spark, H.awkward()), lab).collect()
     assert len(got) == len(H.awkward()) and not any(r.predicted for r in got)
     assert toxicity.score(H.table(spark, []), lab).count() == 0
+
+
+def test_mixing_starts_from_weights_of_the_training_texts(spark):
+    rng = np.random.default_rng(3)
+    follow = {i: rng.integers(0, 400, 3) for i in range(400)}
+    def text(n):
+        w = [int(rng.integers(400))]
+        while len(w) < n:
+            w.append(int(rng.choice(follow[w[-1]])))
+        return " ".join(f"w{i}" for i in w)
+    df = H.table(spark, [(i, text(150), "en", "a", 0) for i in range(120)])
+    blocked = mixlm.blocks(df, "doc_id", "text").cache()
+    r = blocked.first()
+    h = np.frombuffer(r.words, np.uint64)[np.frombuffer(r.at, np.uint32)]
+    sizes, train = np.array(r.sizes), ~np.repeat(np.array(r.held), r.sizes)
+    blocked = spark.createDataFrame([r], blocked.schema)
+    table = np.zeros(2 * mixlm.SLOTS, np.int64)
+    none = np.zeros(len(h), bool)
+    mixlm.count_bits(h, sizes, none, train, table)
+    zeros, ones = table[::2], table[1::2]
+    weights, refine = mixlm.learn(blocked, np.zeros(0, np.uint64), zeros, ones)
+    slope = lambda w: np.abs(mixlm.slopes(h, sizes, none, train, zeros, ones, w)[:weights.size])
+    assert slope(weights).max() < 0.2 * slope(np.full(weights.shape, mixlm.NEUTRAL)).max() and refine.any()
+    # a plain-Python count of the slope of one gate and context, each bit without its own count
+    code, want = mixlm.code_of(h), np.zeros(weights.shape)
+    slots = mixlm.contexts(h, sizes, none)
+    for i in np.flatnonzero(train)[:200]:
+        for b in range(mixlm.BITS):
+            node, bit = (1 << b) | (int(code[i]) >> (mixlm.BITS - b)), (int(code[i]) >> (mixlm.BITS - 1 - b)) & 1
+            z, o = [zeros[s[i] + node] - (1 - bit) for s in slots], [ones[s[i] + node] - bit for s in slots]
+            x = [math.log((b1 + 0.4) / (b0 + 0.4)) for b0, b1 in zip(z, o, strict=True)]
+            g = int(z[-1] + o[-1] > 0) + int(z[-1] + o[-1] > 12)
+            p = 1 / (1 + math.exp(-min(12, max(-12, sum(w * v for w, v in zip(weights[g].tolist(), x, strict=True))))))
+            want[g] += [(bit - p) * v for v in x]
+    some = np.zeros(len(h), bool)
+    some[np.flatnonzero(train)[:200]] = True
+    assert np.allclose(mixlm.slopes(h, sizes, none, some, zeros, ones, weights)[:weights.size].reshape(weights.shape), want, rtol=1e-3, atol=1e-3)
+
+
+def test_short_texts_are_mixed_online(monkeypatch):
+    """A text of 40 tokens: its later tokens are scored by weights that its first ones moved."""
+    rng = np.random.default_rng(2)
+    h = words.mix(rng.integers(1, 30, 4000).astype(np.uint64))
+    distinct, at, n = np.unique(h, return_inverse=True, return_counts=True)
+    totals = mixlm.Totals(len(h), len(distinct), 0, np.bincount(mixlm.code_of(distinct), n, 1 << mixlm.BITS), np.zeros(0, np.uint64))
+    table = np.zeros(2 * mixlm.SLOTS, np.int64)
+    mixlm.count_bits(h, np.array([len(h)]), np.zeros(len(h), bool), np.ones(len(h), bool), table)
+    mixer = mixlm.Mixer(*mixlm.predictors(table[::2], table[1::2]), totals)
+    told = lambda k: mixer.score(h[:k], n[at][:k], np.array([k]), np.zeros(k, bool))[0]
+    online = {k: told(k) for k in (4, 5, 40)}
+    monkeypatch.setattr(mixlm, "RATE", 0.0)
+    monkeypatch.setattr(mixlm, "REFINE_RATE", 0.0)
+    assert online[4] == told(4) and online[5] != told(5) and online[40] != told(40)
