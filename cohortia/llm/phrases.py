@@ -13,7 +13,8 @@ from which on longer phrases may begin to count. These arrays are all that is br
 whatever the corpus. A hash shared with an active phrase lets a few phrases in that need not be counted; it never
 keeps one out and changes no count, as what was let in is counted over a full cycle as well. Block counts meet by
 range of the phrase digest in a shuffle, as arrays, together with the counts of unfinished phrases of earlier scans; there
-are as many ranges as the size of the texts asks for.
+are as many ranges as the size of the texts asks for. What a scan shuffled and the unfinished counts before it are deleted
+once its totals are written.
 
 Phrases are keyed by 64-bit digests of their words and their group. A collocation's score is that of its weakest cut: floor(1000000
 a * a / (l * r)) with the counts of the parts, in decimals of 38 digits.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from cohortia.llm import words as W
 from cohortia.operators import ordered
-from cohortia.session import cut, scratch_path
+from cohortia.session import cut, delete, ending_shuffles, scratch_path
 
 SHARDS = 3
 FILTER_BITS = 23
@@ -111,12 +112,12 @@ class Block:
             names = [g.encode("utf-8", "replace") for g in self.names]
             text = np.frombuffer(b"".join(names), np.uint8)
             lengths = np.array([len(x) for x in names], np.int64)
-            yield from _dealt(phrase_digest([], salts), salts, np.zeros(len(salts), np.uint8), np.zeros((len(salts), 0), np.uint64),
+            yield from _dealt(phrase_digest([], salts), np.arange(len(salts)), salts, np.zeros(len(salts), np.uint8), np.zeros((len(salts), 0), np.uint64),
                               np.bincount(code, minlength=len(salts)), edges, text, np.cumsum(lengths) - lengths, lengths)
             d = phrase_digest([h], salt)
             order, head = distinct(d)
             first = order[head]
-            yield from _dealt(d[first], salt[first], np.zeros(len(first), np.uint8), h[first, None], np.diff(np.append(head, len(d))), edges,
+            yield from _dealt(d[first], code[first], salts, np.zeros(len(first), np.uint8), h[first, None], np.diff(np.append(head, len(d))), edges,
                               letters, start[first], size[first])
         del letters, start, size
         since = active[1][slot(phrase_digest([h], salt))]
@@ -132,36 +133,45 @@ class Block:
             at, begin, d = at[here], begin[here], d[here]
             order, head = distinct(d)
             first = order[head]
-            yield from _dealt(d[first], salt[at[first]], begin[first], np.stack([h[at[first] + i] for i in range(m)], 1), np.diff(np.append(head, len(d))), edges)
+            n, d, begin, at = np.diff(np.append(head, len(d))), d[first], begin[first], at[first]
+            yield from _dealt(d, code[at], salts, begin, np.stack([h[at + i] for i in range(m)], 1), n, edges)
 
 
-#: One row holds the counts of phrases of ``m`` words in one range of the digest, as arrays: digest of the group, step from
-#: which on they count, words, counts; for groups (m = 0) and words their texts one after another, and sizes of these.
-PACKED = "kind int, part int, m int, first long, salt binary, since binary, words binary, n binary, sizes binary, text binary"
+#: One row holds the counts of phrases of ``m`` words in one range of the digest, as arrays, by group and step: digests of the
+#: groups and how many phrases each has, step from which on a phrase counts, words, counts; for groups (m = 0) and words their
+#: texts one after another, and sizes of these.
+PACKED = "kind int, part int, m int, first long, salt binary, runs binary, since binary, words binary, n binary, sizes binary, text binary"
 OPEN, DONE, REACHED = range(3)  # counting goes on; counted; places of the filter (as bits from byte ``first`` on)
 
 
-def _dealt(digest: np.ndarray, salt: np.ndarray, since: np.ndarray, words: np.ndarray, n: np.ndarray, edges: np.ndarray,
+def _dealt(digest: np.ndarray, group: np.ndarray, salts: np.ndarray, since: np.ndarray, words: np.ndarray, n: np.ndarray, edges: np.ndarray,
            text: np.ndarray | None = None, start: np.ndarray | None = None, size: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Counts of different phrases, cut at the ``edges`` of the ranges."""
+    """Counts of different phrases, cut at the ``edges`` of the ranges; groups are places in ``salts``."""
     if np.any(digest[1:] < digest[:-1]):
         order = np.argsort(digest)
-        digest, salt, since, words, n = (x[order] for x in (digest, salt, since, words, n))
+        digest, group, since, words, n = (x[order] for x in (digest, group, since, words, n))
         if text is not None:
             start, size = start[order], size[order]
     cuts = [0, *np.searchsorted(digest, edges).tolist(), len(digest)]
-    full = [i for i in range(len(cuts) - 1) if cuts[i + 1] > cuts[i]]
-    rows = [_packed(OPEN, i, *(None if x is None else x[cuts[i]:cuts[i + 1]] for x in (salt, since, words, n)), text,
-                    *(None if x is None else x[cuts[i]:cuts[i + 1]] for x in (start, size))) for i in full]
+    full = [slice(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    rows = [_packed(OPEN, i, group[x], salts, since[x], words[x], n[x], text, *(None if y is None else y[x] for y in (start, size)))
+            for i, x in enumerate(full) if x.stop > x.start]
     if rows:
         yield _batch(rows)
 
 
-def _packed(kind: int, part: int, salt: np.ndarray, since: np.ndarray, words: np.ndarray, n: np.ndarray,
+def _packed(kind: int, part: int, group: np.ndarray, salts: np.ndarray, since: np.ndarray, words: np.ndarray, n: np.ndarray,
             text: np.ndarray | None = None, start: np.ndarray | None = None, size: np.ndarray | None = None) -> tuple:
-    told = (None, None) if text is None else (size.astype(np.uint32).tobytes(), _gather(text, start, size.astype(np.int64)).tobytes())
-    return (kind, part, words.shape[1], 0, salt.tobytes(), since.astype(np.uint8).tobytes(), np.ascontiguousarray(words).tobytes(),
-            n.astype(np.int64).tobytes(), *told)
+    order = np.argsort(since.astype(np.uint8), kind="stable")
+    order = order[np.argsort(group[order].astype(np.min_scalar_type(len(salts))), kind="stable")]
+    group, since, words, n = (x[order] for x in (group, since, words, n))
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    told = (None, None)
+    if text is not None:
+        start, size = start[order], size[order]
+        told = (size.astype(np.uint32).tobytes(), _gather(text, start, size.astype(np.int64)).tobytes())
+    return (kind, part, words.shape[1], 0, salts[group[head]].tobytes(), np.diff(np.append(head, len(group))).astype(np.uint32).tobytes(),
+            since.astype(np.uint8).tobytes(), words.tobytes(), n.astype(np.int64).tobytes(), *told)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -191,7 +201,7 @@ def _scan(step: int, shards: int, held, longest: int, edges: np.ndarray):
 
 
 def _joined(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    return np.concatenate([np.frombuffer(x.as_buffer() if len(x.as_buffer()) else b"", kind) for x in column])
 
 
 def _meet(step: int, shards: int, least: int, longest: int):
@@ -201,9 +211,11 @@ def _meet(step: int, shards: int, least: int, longest: int):
         lengths = table.column("m").to_numpy()
         for m in np.unique(lengths).tolist():
             rows = table.take(np.flatnonzero(lengths == m))
-            salt, since, n = _joined(rows.column("salt"), np.uint64), _joined(rows.column("since"), np.uint8), _joined(rows.column("n"), np.int64)
-            words = _joined(rows.column("words"), np.uint64).reshape(len(salt), m)
-            d = phrase_digest([words[:, i] for i in range(m)], salt)
+            since, n = _joined(rows.column("since"), np.uint8), _joined(rows.column("n"), np.int64)
+            salts, group = np.unique(_joined(rows.column("salt"), np.uint64), return_inverse=True)
+            group = np.repeat(group.astype(np.int32), _joined(rows.column("runs"), np.uint32))
+            words = _joined(rows.column("words"), np.uint64).reshape(len(n), m)
+            d = phrase_digest([words[:, i] for i in range(m)], salts[group])
             order, head = distinct(d)
             total, first = np.add.reduceat(n[order], head), order[head]
             text = []
@@ -214,13 +226,13 @@ def _meet(step: int, shards: int, least: int, longest: int):
             for kind, of in ((OPEN, ends > step), (DONE, (ends == step) & ((total >= least) | (m == 0)))):
                 if of.any():
                     at = first[of]
-                    out.append(_packed(kind, part, salt[at], since[at], words[at], total[of], *(text and [text[0], text[1][at], text[2][at]])))
+                    out.append(_packed(kind, part, group[at], salts, since[at], words[at], total[of], *(text and [text[0], text[1][at], text[2][at]])))
             places = slot(d[first[total >= least]])
             if 1 <= m < longest and len(places):
                 byte = int(places[0]) // 8
                 bits = np.zeros(8 * (int(places[-1]) // 8 - byte + 1), np.uint8)
                 bits[places - 8 * byte] = 1
-                out.append((REACHED, part, m, byte, None, None, None, None, None, np.packbits(bits, bitorder="little").tobytes()))
+                out.append((REACHED, part, m, byte, *[None] * 6, np.packbits(bits, bitorder="little").tobytes()))
         return pa.Table.from_batches([_batch(out)])
     return run
 
@@ -231,11 +243,12 @@ def _unpacked(longest: int):
             for r in batch.to_pylist():
                 n, m = np.frombuffer(r["n"], np.int64), r["m"]
                 words = np.frombuffer(r["words"], np.int64).reshape(len(n), m)
+                salt = np.repeat(np.frombuffer(r["salt"], np.int64), np.frombuffer(r["runs"], np.uint32))
                 text = pa.nulls(len(n), pa.string())
                 if r["text"] is not None:
                     offsets = np.append(0, np.cumsum(np.frombuffer(r["sizes"], np.uint32).astype(np.int64))).astype(np.int32)
                     text = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(r["text"]))
-                columns = [pa.array(np.frombuffer(r["salt"], np.int64)), pa.array(np.full(len(n), m, np.int32))]
+                columns = [pa.array(salt), pa.array(np.full(len(n), m, np.int32))]
                 columns += [pa.array(words[:, i]) if i < m else pa.nulls(len(n), pa.int64()) for i in range(longest)]
                 yield pa.RecordBatch.from_arrays([*columns, text, pa.array(n)], names=["g", "m", *word_columns(longest), "word", "n"])
     return run
@@ -255,14 +268,19 @@ def _counted(docs: DataFrame, least: int, longest: int, shards: int, text_col: s
     ranges = max(1, -(-int(texts.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0) // RANGE_BYTES))
     edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
     active = {m: np.full(1 << FILTER_BITS, NEVER, np.uint8) for m in range(1, max(longest, 2))}
-    carried, done = None, None
+    carried, done, folders = None, None, [folder]
     step, horizon = 0, shards
     while step < horizon:
         held = spark.sparkContext.broadcast({m: a.tobytes() for m, a in active.items()})
         met = texts.filter(F.col("shard") == step % shards).select("g", "t").mapInArrow(_scan(step, shards, held, longest, edges), PACKED)
         met = met if carried is None else met.unionByName(carried)
-        totals = cut(met.groupBy("part").applyInArrow(_meet(step, shards, least, longest), PACKED))
+        folders.append(scratch_path(spark, "totals"))
+        with ending_shuffles(spark):
+            met.groupBy("part").applyInArrow(_meet(step, shards, least, longest), PACKED).write.partitionBy("kind").parquet(folders[-1])
         held.unpersist()
+        if carried is not None:
+            delete(spark, f"{folders[-2]}/kind={OPEN}")
+        totals = spark.read.schema(PACKED).parquet(folders[-1])
         carried = totals.filter(F.col("kind") == OPEN)
         ended = totals.filter(F.col("kind") == DONE)
         done = ended if done is None else done.unionByName(ended)
@@ -276,7 +294,10 @@ def _counted(docs: DataFrame, least: int, longest: int, shards: int, text_col: s
                 horizon = max(horizon, step + 1 + shards)
         step += 1
     row = f"g long, m int, {', '.join(f'{w} long' for w in word_columns(longest))}, word string, n long"
-    return done.mapInArrow(_unpacked(longest), row)
+    found = cut(done.drop("kind").mapInArrow(_unpacked(longest), row))
+    for of in folders:
+        delete(spark, of)
+    return found
 
 
 def frequent(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = SHARDS, text_col: str = "text", group_col: str = "lang") -> DataFrame:
@@ -284,7 +305,7 @@ def frequent(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = S
 
     Columns: g (group), m (words; 0 for the group's total), w1 .. (digests of the words), word (of single words), n.
     """
-    found = cut(_counted(docs, least, longest, shards, text_col, group_col))
+    found = _counted(docs, least, longest, shards, text_col, group_col)
     names = found.filter("m = 0").select("g", F.col("word").alias("name"))
     return found.join(names, "g").select(F.col("name").alias("g"), "m", *word_columns(longest), F.when(F.col("m") == 1, F.col("word")).alias("word"), "n")
 
@@ -301,7 +322,7 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
 
     A phrase is left out if it lies inside a longer one that has at least ``inside`` percent of its count.
     """
-    found = cut(_counted(docs, least, longest, shards, text_col, group_col))
+    found = _counted(docs, least, longest, shards, text_col, group_col)
     of = {m: found.filter(F.col("m") == m) for m in range(1, longest + 1)}
     group = found.filter("m = 0").select("g", F.col("word").alias("lang"), F.col("n").alias("n_words"))
     ranked = None

@@ -109,3 +109,35 @@ def test_awkward_rows(spark):
     assert found(phrases.collocations(H.clashing(H.table(spark, rows)), least=3)) == brute([r[1:3] for r in rows], 3)
     assert phrases.collocations(H.table(spark, [])).collect() == []
     assert phrases.collocations(H.table(spark, [(1, None, "en", "a", 1), (2, "", None, None, 1)])).collect() == []
+
+
+def test_rows_tell_groups_and_steps_in_runs():
+    """A phrase costs the digests of its words, its count and its step; groups are told once, and steps lie together."""
+    rng = random.Random(5)
+    block = phrases.Block()
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(9000)) for _ in range(4)]
+    for _, t in phrases.W.slices(phrases.pa.array(texts)):
+        block.add(t, ["en", "de", "en", "fr"][:t.n])
+    active = {m: phrases.np.array([rng.randrange(3) for _ in range(1 << 12)] * (1 << phrases.FILTER_BITS - 12), phrases.np.uint8) for m in (1, 2)}
+    edges = phrases.np.array([1 << 62, 1 << 63], phrases.np.uint64)
+    for r in (r for b in block.count(2, 3, active, 3, edges) for r in b.to_pylist()):
+        n, since = len(r["n"]) // 8, r["since"]
+        if r["m"] > 1:
+            assert sum(len(x) for x in r.values() if isinstance(x, bytes)) <= n * (8 * r["m"] + 8 + 1) + 3 * 12
+            assert sum(a != b for a, b in zip(since, since[1:])) <= 3 * 3
+
+
+def test_scans_leave_their_result_only(spark):
+    """Texts in shards and the totals of the scans are deleted; the session keeps its setting."""
+    from cohortia import session
+
+    since = len(session._SCRATCH)
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = made(6, 100)
+    f, _ = counts([r[1:3] for r in rows])
+    got = phrases.frequent(H.table(spark, rows), least=4).collect()
+    assert sorted((r.g, r.m, r.n) for r in got if r.m) == sorted((g, len(w), c) for (g, w), c in f.items() if c >= 4)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    left = [p for s, p in session._SCRATCH[since:] if path(p).getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(path(p))]
+    assert [p.split("/")[-1].split("-")[0] for p in left] == ["cut"]
