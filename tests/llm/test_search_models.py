@@ -225,3 +225,32 @@ def test_short_texts_are_mixed_online(monkeypatch):
     monkeypatch.setattr(mixlm, "RATE", 0.0)
     monkeypatch.setattr(mixlm, "REFINE_RATE", 0.0)
     assert online[4] == told(4) and online[5] != told(5) and online[40] != told(40)
+
+
+def test_mixing_works_through_a_block_in_chunks(spark, sf_dir, monkeypatch):
+    """Chunks are whole texts in order, within the limit or alone; scoring through them takes little memory and gives the same."""
+    import tracemalloc
+
+    monkeypatch.setattr(mixlm, "CHUNK_TOKENS", 100)
+    sizes = np.array([1, 99, 1, 250, 40, 60, 1])
+    assert [(t.start, t.stop, z.start, z.stop) for t, z in mixlm.chunks(sizes)] == [(0, 2, 0, 100), (2, 3, 100, 101), (3, 4, 101, 351), (4, 6, 351, 451), (6, 7, 451, 452)]
+    assert list(mixlm.chunks(np.zeros(0, np.int64))) == []
+    monkeypatch.undo()
+    rng = np.random.default_rng(2)
+    sizes = np.full(4000, 200)
+    h = words.mix(rng.integers(0, 3000, sizes.sum(), np.uint64))
+    table = np.zeros(2 * mixlm.SLOTS, np.int64)
+    common = np.zeros(len(h), bool)
+    tracemalloc.start()
+    for some, now in mixlm.chunks(sizes):
+        mixlm.count_bits(h[now], sizes[some], common[now], np.ones(now.stop - now.start, bool), table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = np.zeros_like(table)
+    mixlm.count_bits(h, sizes, common, np.ones(len(h), bool), whole)
+    assert (table == whole).all() and peak < 40e6
+    df = H.table(spark, H.documents(sf_dir)[:60])
+    one = {r.doc_id: round(r.score, 6) for r in mixlm.score(df).collect()}
+    monkeypatch.setattr(mixlm, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(mixlm, "SLICE_BYTES", 3000)
+    assert {r.doc_id: round(r.score, 6) for r in mixlm.score(df).collect()} == one
