@@ -42,7 +42,9 @@ SHARDS = 3
 FILTER_BITS = 23
 #: Words counted together, and bytes of text cut into words at once.
 BLOCK_WORDS = 1_000_000
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
+#: Ranges whose rows a block sends at once.
+SENT_RANGES = 32
 #: Bytes of all texts to one range of phrase digests; the counts of a range meet in one task.
 RANGE_BYTES = 4_000_000
 NEVER = 255
@@ -153,11 +155,10 @@ def _dealt(digest: np.ndarray, group: np.ndarray, salts: np.ndarray, since: np.n
         if text is not None:
             start, size = start[order], size[order]
     cuts = [0, *np.searchsorted(digest, edges).tolist(), len(digest)]
-    full = [slice(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-    rows = [_packed(OPEN, i, group[x], salts, since[x], words[x], n[x], text, *(None if y is None else y[x] for y in (start, size)))
-            for i, x in enumerate(full) if x.stop > x.start]
-    if rows:
-        yield _batch(rows)
+    full = [(i, slice(a, z)) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+    for k in range(0, len(full), SENT_RANGES):
+        yield _batch([_packed(OPEN, i, group[x], salts, since[x], words[x], n[x], text, *(None if y is None else y[x] for y in (start, size)))
+                      for i, x in full[k:k + SENT_RANGES]])
 
 
 def _packed(kind: int, part: int, group: np.ndarray, salts: np.ndarray, since: np.ndarray, words: np.ndarray, n: np.ndarray,
