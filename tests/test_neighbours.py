@@ -108,3 +108,49 @@ def test_gaps_meet_halls_as_they_meet_all_rows(spark, monkeypatch):
     found = N.nearest_observed(spark.createDataFrame(long, "sample_id long, assay string, value double"), 3, block=20).toPandas()
     each = N._best_holding(s, np.arange(300), s, np.arange(300), 3)
     assert sorted(zip(found.sample_id, found.assay, found.neighbour, strict=True)) == sorted((i, f"a{j}", o) for i, j, o in zip(*each[:3], strict=True))
+
+
+def test_products_bound_distances_and_rule_out_nearly_all_pairs(monkeypatch):
+    """Rows without clusters, some entries constant, in steps or missing: every pair is bounded from below, few are worked out one by one,
+    and two halls that meet once give both what all rows at once give."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 48))
+    x[:, 0], x[:, 1], x[40:60] = 3.0, rng.integers(0, 2, 3000), x[:20]
+    x[rng.random(x.shape) < 0.04] = np.nan
+    low, high = np.nanmin(x, axis=0), np.nanmax(x, axis=0)
+    s = np.where(np.isnan(x), np.nan, (x - low) / np.where(high > low, high - low, 1))
+    few, shared = s[:200], (~np.isnan(s[:200])).astype(float) @ (~np.isnan(s)).T
+    total = np.nansum(np.abs(few[:, None] - s[None]), axis=2)
+    knots = N._knots(s)
+    bound = N._against(N._features(few, knots), 0.1) @ N._features(s, knots).T
+    slack = total - 0.1 * shared - bound
+    assert slack.min() > -1e-3 and np.median(slack) < 0.1 * np.median(total)
+    ids, reach = rng.permutation(3000), N._reach(s, s, np.arange(3000), 4)
+    reach = np.where(np.isnan(s).any(axis=1), np.where(np.isnan(s), reach, 0).max(axis=1), -1.0)
+    tried = []
+    exactly = N._exactly
+    monkeypatch.setattr(N, "_exactly", lambda s, r, c: tried.append(len(r)) or exactly(s, r, c))
+    found = N._Found(s, ids, reach, 4)
+    blocks, first, second = np.arange(3000) // 200, np.arange(1400), np.arange(1400, 3000)
+    for half in ((first, None), (second, None), (first, second)):
+        N._meet(found, *half, blocks, np.ones((15, 15), bool))
+    found.keep()
+    row, pos, other, d = N._best_holding(s, ids, s, ids, 4)
+    told = sorted(zip(row * 48 + pos, ids[other], d, strict=True))
+    assert told == sorted(zip(found.best[0], ids[found.best[1]], found.best[2], strict=True))
+    assert sum(tried) < 3000 * 2999 / 2 / 20
+
+
+def test_a_row_with_gaps_meets_each_hall_once(spark, monkeypatch):
+    """Pairs of halls meet in one task for both of them: as many groups as there are pairs, and a row is dealt to as many as there are halls."""
+    rng = np.random.default_rng(13)
+    s = rng.random((400, 9))
+    s[rng.random(s.shape) < 0.1] = np.nan
+    monkeypatch.setattr(N, "HALL_BYTES", 400 * 9 * 8 // 4)
+    seen = []
+    cogroup = type(spark.range(1).groupBy("id")).cogroup
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "cogroup", lambda a, b: seen.append((a._df, b._df)) or cogroup(a, b))
+    long = [(i, f"a{j}", None if np.isnan(v) else float(v)) for i, r in enumerate(s) for j, v in enumerate(r)]
+    N.nearest_observed(spark.createDataFrame(long, "sample_id long, assay string, value double"), 3, block=25)
+    (first, second), = seen
+    assert first.select("low", "high").distinct().count() == 4 * 5 // 2 and first.count() + second.count() == 4 * 400
