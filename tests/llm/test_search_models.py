@@ -254,3 +254,76 @@ def test_mixing_works_through_a_block_in_chunks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(mixlm, "CHUNK_TOKENS", 300)
     monkeypatch.setattr(mixlm, "SLICE_BYTES", 3000)
     assert {r.doc_id: round(r.score, 6) for r in mixlm.score(df).collect()} == one
+
+
+def test_triples_are_counted_over_all_other_training_texts(spark, monkeypatch):
+    """Counts of what follows two words, met by range, equal a plain-Python count without the text's own; they grow with the corpus."""
+    rng = random.Random(4)
+    texts = {i: [f"w{rng.randrange(6)}" for _ in range(rng.randrange(0, 40))] for i in range(90)}
+    monkeypatch.setattr(mixlm, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(mixlm, "CHUNK_TOKENS", 50)
+    df = H.table(spark, [(i, " ".join(w), "en", "a", 0) for i, w in texts.items()])
+    blocked = mixlm.blocks(df.coalesce(2), "doc_id", "text").cache()
+    totals = mixlm.Totals(1)
+    told = {}
+    for r in mixlm.triple_totals(blocked, 5, totals).orderBy("block", "part").collect():
+        told.setdefault(r.block, []).append(r)
+    steps = lambda w: list(zip([None, None, *w], [None, *w], [*w, ""]))
+    triple, pair = collections.Counter(), collections.Counter()
+    for i, w in texts.items():
+        if not fold(i, 10):
+            triple.update(steps(w))
+            pair.update(x[:2] for x in steps(w))
+    seen_rows = 0
+    for b in blocked.collect():
+        h, sizes = np.frombuffer(b.words, np.uint64)[np.frombuffer(b["at"], np.uint32)], np.array(b.sizes)
+        keys = mixlm.triples(h, sizes, 5)
+        back = np.unique(keys, return_inverse=True)[1]
+        follow, seen = (np.concatenate([mixlm._unpack(r[name], r.n) for r in told[b.block]])[back] for name in ("follow", "seen"))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        got = mixlm.others(keys, doc, ~np.array(b.held)[doc], follow, seen)
+        want = []
+        for i in b.ids:
+            own = steps(texts[i])
+            mine = collections.Counter(own), collections.Counter(x[:2] for x in own)
+            take = 0 if fold(i, 10) else 1
+            want += [(triple[x] - take * mine[0][x], pair[x[:2]] - take * mine[1][x[:2]]) for x in own]
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+        seen_rows += len(want)
+    assert seen_rows == sum(len(w) + 1 for w in texts.values()) and len(told) > 1
+    assert ((totals.follows > 0) & (totals.follows < 1)).all()
+
+
+def test_probabilities_sum_to_one_where_words_have_followed():
+    h = words.mix(np.arange(1, 301, dtype=np.uint64))
+    c = np.random.default_rng(1).integers(1, 40, 300)
+    code = mixlm.code_of(h)
+    totals = mixlm.Totals(int(c.sum()), 300, 5, np.bincount(code, c, 1 << mixlm.BITS), np.sort(h[:5]), np.linspace(0.2, 0.9, mixlm.SEEN_GATES))
+    table = np.zeros(2 * mixlm.SLOTS, np.int64)
+    stream = np.repeat(h, c)
+    mixlm.count_bits(stream, np.array([len(stream)]), np.isin(stream, totals.frequent), np.ones(len(stream), bool), table)
+    mixer = mixlm.Mixer(*mixlm.predictors(table[::2], table[1::2]), totals)
+    past, nexts = stream[:9], np.append(h, np.uint64(12345))
+    every = np.concatenate([np.append(past, x) for x in nexts])
+    counts = np.array([dict(zip(h.tolist(), c.tolist(), strict=True)).get(int(x), 0) for x in every])
+    # after this past 3 words have followed, 10 times in all
+    after = {int(h[3]): 5, int(h[7]): 4, int(h[100]): 1}
+    follow = np.concatenate([[*[2] * 9, after.get(int(x), 0)] for x in nexts])
+    seen = np.tile([*[4] * 9, 10], len(nexts))
+    both = mixer.score(every, counts, np.full(len(nexts), 10), np.isin(every, totals.frequent), follow, seen)
+    alone = mixer.score(past, counts[:9], np.array([9]), np.isin(past, totals.frequent), follow[:9], seen[:9])
+    # bits of codes that no word has
+    lost = 1 - (np.bincount(code, minlength=64) > 0).mean()
+    assert np.exp2(both - alone).sum() == pytest.approx(1, abs=1e-6 if not lost else 0.2)
+    assert (both - alone)[[3, 7]].min() > np.delete(both - alone, [3, 7, 100]).max()
+
+
+def test_texts_that_occur_twice_are_told_from_others(spark):
+    """The model holds what whole texts say: one that has a copy is far likelier, word for word, than one like it without."""
+    rng = random.Random(9)
+    once = {i: " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(60)) for i in range(400)}
+    docs = {**once, **{1000 + i: once[i] for i in range(0, 400, 8)}}
+    got = {r.doc_id: r.score / r.n_tokens for r in mixlm.score(H.table(spark, [(i, t, "en", "a", 0) for i, t in docs.items()])).collect()}
+    copied = [got[i] for i in range(0, 400, 8) if not (fold(i, 10) or fold(1000 + i, 10))]
+    others = sorted(got[i] for i in range(400) if i % 8)
+    assert len(copied) > 30 and np.mean(np.array(copied) > others[int(0.95 * len(others))]) > 0.95
